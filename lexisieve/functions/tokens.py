@@ -66,8 +66,9 @@ def token_ids(tokens: Column, ids: Mapping[str, int] = TOKEN_IDS) -> Column:
 
 def encode(tokens: Column, pad: int = 50, ids: Mapping[str, int] = TOKEN_IDS) -> Column:
     """Start id, token ids cut so the whole is at most ``pad`` - 1 long, end id
-    up to exactly ``pad``."""
-    body = F.slice(F.concat(F.array(F.lit(START_ID)), token_ids(tokens, ids)), 1, pad - 1)
+    up to exactly ``pad``. Tokens beyond the cut are not looked up."""
+    kept = F.slice(tokens, F.lit(1), F.lit(max(pad - 2, 0)))
+    body = F.concat(F.array(F.lit(START_ID)), token_ids(kept, ids))
     return F.slice(F.concat(body, F.array_repeat(F.lit(END_ID), pad)), 1, pad)
 
 
@@ -107,3 +108,13 @@ def decode_with_vocab(ids: Column, names: Column, bos: Column | None = None,
             F.slice(body, F.lit(1), F.greatest(F.size(body) - 1, F.lit(0))),
         ).otherwise(body)
     return F.array_join(F.transform(body, lambda i: F.coalesce(F.try_element_at(names, i), F.lit(UNK))), "")
+
+
+def vocab_columns(vocab, limit: int = 20_000) -> tuple[Column, Column, dict[str, int]]:
+    """A learned ``token, id`` table as two literal maps and a dict. It is
+    collected, so it has to be small, as character vocabularies are."""
+    rows = vocab.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} tokens; join with the vocabulary table instead")
+    ids = {r["token"]: int(r["id"]) for r in rows}
+    return vocabulary_map(ids), vocabulary_map({i: t for t, i in ids.items()}), ids

@@ -72,5 +72,19 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return df
 
 
+def spread(df: DataFrame, column: str) -> DataFrame:
+    """Redistribute a table that one or two tasks would read.
+
+    Text expressions are heavy on the CPU, and a table smaller than a few scan
+    splits would leave most cores idle. Larger tables are returned as they are,
+    without a shuffle.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores * 2, column) if size < 2 * split and cores > 1 else df
+
+
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,6 +10,8 @@ from lexisieve.sources.files import exists
 #: Columns that only serve a computation and are not saved.
 HELPER_COLUMNS = ("tokens", "bits", "grams", "atomic_scaffold_bits", "graph_scaffold_bits")
 
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 MARK = "_preprocess"
 
 
@@ -24,7 +26,7 @@ def save_result(df: DataFrame, path: str, fmt: str = "csv", helpers=HELPER_COLUM
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.options(**CSV_OPTIONS)
     writer.format(fmt).save(path)
     return path
 
@@ -42,7 +44,7 @@ def already_processed(path: str) -> bool:
 
 
 def convert_delimited(df: DataFrame, path: str, sep: str = ",") -> str:
-    df.write.mode("errorifexists").option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    df.write.mode("errorifexists").options(**CSV_OPTIONS).option("sep", sep).csv(path)
     return path
 
 

@@ -55,6 +55,7 @@ def metric_windows(stream: DataFrame, time_col: str, metric: str, value: str, si
     before the shuffle, so one busy metric does not fill one task."""
     frame = F.session_window(time_col, gap) if gap else F.window(time_col, size, slide or size)
     return (
-        stream.withWatermark(time_col, delay).groupBy(frame.alias("w"), F.col(metric).alias("metric"))
+        stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay).groupBy(frame.alias("w"), F.col(metric).alias("metric"))
         .agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "metric", "mean", "n"))
+        .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                F.col("w.end").cast("timestamp_ntz").alias("window_end"), "metric", "mean", "n"))
