@@ -30,7 +30,7 @@ from lexisieve.functions.fingerprint import add_sparse_vector, dense_bits, fold
 from lexisieve.operators.balancing import kfold, stratified_folds
 from lexisieve.operators.index import global_rank
 from lexisieve.operators.knn import knn_join, knn_vote
-from lexisieve.session import materialize
+from lexisieve.session import compact, materialize
 
 # Fingerprint sizes of the grid.
 FINGERPRINT_SIZES = (64, 128, 256, 512, 1024, 2048)
@@ -42,10 +42,10 @@ def classifiers(seed: int = 0) -> dict[str, tuple[object, dict[str, list]]]:
     return {
         "RF": (RandomForestClassifier(seed=seed, **common), {"numTrees": [20, 50], "maxDepth": [5, 10]}),
         "GBT": (GBTClassifier(seed=seed, maxIter=10, **common), {"maxDepth": [3, 5]}),
-        "SVM": (LinearSVC(maxIter=30, **common), {"regParam": [0.01, 0.1, 1.0]}),
+        "SVM": (LinearSVC(maxIter=30, tol=1e-4, **common), {"regParam": [0.01, 0.1, 1.0]}),
         "DT": (DecisionTreeClassifier(seed=seed, **common), {"maxDepth": [3, 5, 10]}),
         "NB": (NaiveBayes(modelType="gaussian", **common), {}),
-        "LR": (LogisticRegression(maxIter=50, **common), {"regParam": [0.001, 0.01, 0.1]}),
+        "LR": (LogisticRegression(maxIter=50, tol=1e-4, **common), {"regParam": [0.001, 0.01, 0.1]}),
     }
 
 
@@ -80,8 +80,8 @@ def train_select(df: DataFrame, folds: int = 3, seed: int = 123, names: Sequence
     Returns the table ``model, params, auc`` and the fitted pipeline. Folds are
     stratified and repeatable. Features with no variance are left out.
     """
-    data = materialize(stratified_folds(df, "label", id_col, folds, seed).withColumn(
-        "label", F.col("label").cast("double")))
+    data = compact(materialize(stratified_folds(df, "label", id_col, folds, seed).withColumn(
+        "label", F.col("label").cast("double"))))
     evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction")
     results, fitted = [], {}
     for name, (estimator, values) in classifiers(seed).items():
@@ -142,7 +142,7 @@ def model_grid(df: DataFrame, bits_col: str, id_col: str, label: str, sizes: Seq
     results = []
     for bits in sizes:
         folded = base.withColumn("folded", fold(F.col("wide"), bits))
-        data = materialize(add_sparse_vector(folded, "folded", bits).drop("wide"))
+        data = compact(materialize(add_sparse_vector(folded, "folded", bits).drop("wide")))
         for name in names:
             if name == "KNN":
                 auc = evaluator.evaluate(_knn_out_of_fold(data, bits))
@@ -173,7 +173,7 @@ def boosted_regression(df: DataFrame, features: Sequence[str], label: str, id_co
     """Cross-validated RMSE of boosted trees per depth: ``max_depth, rmse``."""
     assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(
         df.select(F.xxhash64(*id_cols).alias("__id"), *features, F.col(label).cast("double").alias("label")))
-    data = materialize(kfold(assembled.select("__id", "features", "label"), "__id", folds, seed))
+    data = compact(materialize(kfold(assembled.select("__id", "features", "label"), "__id", folds, seed)))
     estimator = GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, seed=seed)
     grid = ParamGridBuilder().addGrid(estimator.maxDepth, list(depths)).build()
     model = CrossValidator(estimator=estimator, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",

@@ -36,7 +36,7 @@ from lexisieve.operators import (
 )
 from lexisieve.plans import curate as curation
 from lexisieve.plans import screen
-from lexisieve.session import materialize, shared_dir, spread
+from lexisieve.session import compact, materialize, shared_dir, spread
 from lexisieve.sources import files, readers, writers
 from lexisieve.streaming import streams
 
@@ -764,15 +764,15 @@ def model_grid(spark, sf):
 @query
 def oof_predictions(spark, sf):
     data = FP.add_sparse_vector(_features(spark, sf), "bits", 256)
-    folded = materialize(balancing.stratified_folds(data.select("id", "label", "features"), "label", "id", 3))
-    return models.out_of_fold(folded, LogisticRegression(maxIter=20, regParam=0.1))
+    folded = compact(materialize(balancing.stratified_folds(data.select("id", "label", "features"), "label", "id", 3)))
+    return models.out_of_fold(folded, LogisticRegression(maxIter=20, tol=1e-4, regParam=0.1))
 
 
 @query
 def score_rank(spark, sf):
     path = scratch(spark, "model")
-    data = materialize(FP.add_sparse_vector(_features(spark, sf), "bits", 256))
-    Pipeline(stages=[LogisticRegression(maxIter=20, regParam=0.1)]).fit(data).write().save(path)
+    data = compact(materialize(FP.add_sparse_vector(_features(spark, sf), "bits", 256)))
+    Pipeline(stages=[LogisticRegression(maxIter=20, tol=1e-4, regParam=0.1)]).fit(data).write().save(path)
     fresh = FP.add_sparse_vector(_word_bits(spark, sf, 1, 256), "bits", 256)
     return models.score_rank(fresh, path, "doc_id")
 

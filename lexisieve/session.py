@@ -72,6 +72,18 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
     return df
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's size estimate of a plan, exact for a table read from files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def compact(df: DataFrame, partition_bytes: int = 16 << 20) -> DataFrame:
+    """Merge the partitions of a small table without a shuffle, for iterative
+    algorithms that start one job per step."""
+    wanted = max(1, plan_bytes(df) // partition_bytes)
+    return df.coalesce(wanted) if wanted < default_partitions(df.sparkSession) else df
+
+
 def spread(df: DataFrame, column: str) -> DataFrame:
     """Redistribute a table that one or two tasks would read.
 
@@ -80,7 +92,7 @@ def spread(df: DataFrame, column: str) -> DataFrame:
     without a shuffle.
     """
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = plan_bytes(df)
     split = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores * 2, column) if size < 2 * split and cores > 1 else df
