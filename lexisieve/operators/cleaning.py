@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexisieve.functions.barrier import evaluate_once
 from lexisieve.functions.descriptors import invalid_reason, normalize
 from lexisieve.functions.tokens import TOKEN_IDS, all_known, atom_tokens
 
@@ -25,21 +26,24 @@ def add_validity(df: DataFrame, text_col: str, tokens_col: str = "tokens",
 
 
 def keep_valid(df: DataFrame, text_col: str) -> DataFrame:
-    checked = add_validity(add_tokens(df, text_col, "__tokens"), text_col, "__tokens")
-    return checked.where("valid").drop("__tokens", "valid", "invalid_reason")
+    staged = evaluate_once(df, __tokens=atom_tokens(F.col(text_col)))
+    checked = evaluate_once(staged, __reason=invalid_reason(F.col(text_col), F.col("__tokens")))
+    return checked.where(F.col("__reason").isNull()).drop("__tokens", "__reason")
 
 
 def normalize_rows(df: DataFrame, text_col: str, **options) -> DataFrame:
     """Normalised text; rows that cannot be normalised are dropped."""
-    return df.withColumn(text_col, normalize(F.col(text_col), **options)).where(F.col(text_col).isNotNull())
+    normal = evaluate_once(df, __normal=normalize(F.col(text_col), **options))
+    kept = normal.where(F.col("__normal").isNotNull())
+    return kept.select(*[F.col("__normal").alias(c) if c == text_col else F.col(c) for c in df.columns])
 
 
 def add_token_pass(df: DataFrame, text_col: str, known: Sequence[str] | None = None,
                    out: str = "pass") -> DataFrame:
     """Whether all tokens are in the vocabulary. Long text passes: cutting
     happens after the lookup."""
-    staged = add_tokens(df, text_col, "__tokens")
-    return staged.withColumn(out, all_known(F.col("__tokens"), known)).drop("__tokens")
+    staged = evaluate_once(df, __tokens=atom_tokens(F.col(text_col)))
+    return evaluate_once(staged, **{out: all_known(F.col("__tokens"), known)}).drop("__tokens")
 
 
 def token_filter(df: DataFrame, text_col: str, id_col: str = "ID", property_col: str | None = "plogP",

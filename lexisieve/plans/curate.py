@@ -26,18 +26,19 @@ def curate(df: DataFrame, id_col: str = "ID", text_col: str = "SMILES", key: Col
            index_col: str | None = None) -> DataFrame:
     """Validity, distinct by key, normalisation, token filter, index.
 
-    ``key`` is the canonical key (the text itself by default); the row with the
+    ``key`` is the canonical key (md5 of the text by default, so that long text
+    is shuffled once); the row with the
     lowest id represents it. Selecting the longest fragment after deduplication
     can make rows equal again; ``dedup_again`` removes them. Row filters are
     pushed below the one shuffle of the distinct step by Catalyst where they
     do not depend on it.
     """
-    keyed = keep_valid(df, text_col).withColumn("__key", F.col(text_col) if key is None else key)
+    keyed = keep_valid(df, text_col).withColumn("__key", F.md5(text_col) if key is None else key)
     one_each = distinct_by(keyed, "__key", id_col, drop_null_keys=True).drop("__key")
     normal = normalize_rows(one_each, text_col)
     passed = add_token_pass(normal, text_col, known, "__pass").where("__pass").drop("__pass")
     if dedup_again:
-        passed = distinct_by(passed, text_col, id_col)
+        passed = distinct_by(passed.withColumn("__key", F.md5(text_col)), "__key", id_col).drop("__key")
     if index_col is not None:
         passed = add_index(passed, [id_col], index_col, unique=True)
     return passed
