@@ -31,7 +31,7 @@ def unpivot_compare(left: DataFrame, right: DataFrame, columns: Sequence[str],
 
 
 #: Rows whose distinct values fit in one aggregation buffer.
-IN_TASK_ROWS = 4_000_000
+IN_TASK_ROWS = 500_000
 
 
 def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probabilities: Mapping[str, float],
