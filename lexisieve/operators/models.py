@@ -232,7 +232,7 @@ def assign_cells(train: DataFrame, rows: DataFrame, vec_col: str, seed: int = 0,
 
 
 def gmm_columns(df: DataFrame, columns: Sequence[str], id_cols: Sequence[str], components: int = 10,
-                seed: int = 0, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
+                seed: int = 0, max_iter: int = 100) -> tuple[DataFrame, DataFrame]:
     """Gaussian mixture per column over its non-missing rows.
 
     Returns rows with ``<column>_component`` (-1 for missing) and a table of
@@ -242,7 +242,7 @@ def gmm_columns(df: DataFrame, columns: Sequence[str], id_cols: Sequence[str], c
     for c in columns:
         present = F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
         vector = array_to_vector(F.array(F.coalesce(F.when(present, F.col(c).cast("double")), F.lit(0.0))))
-        fitted = GaussianMixture(k=components, seed=seed, maxIter=max_iter, featuresCol="__v",
+        fitted = GaussianMixture(k=components, seed=seed, maxIter=max_iter, tol=1e-3, featuresCol="__v",
                                  predictionCol="__c", probabilityCol="__p").fit(
             df.where(present).select(vector.alias("__v")))
         for i, (weight, g) in enumerate(zip(fitted.weights, fitted.gaussians)):
