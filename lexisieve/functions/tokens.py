@@ -115,6 +115,6 @@ def vocab_columns(vocab, limit: int = 20_000) -> tuple[Column, Column, dict[str,
     collected, so it has to be small, as character vocabularies are."""
     rows = vocab.limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} tokens; join with the vocabulary table instead")
+        raise ValueError(f"more than {limit} tokens is not a character vocabulary")
     ids = {r["token"]: int(r["id"]) for r in rows}
     return vocabulary_map(ids), vocabulary_map({i: t for t, i in ids.items()}), ids

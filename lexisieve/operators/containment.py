@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexisieve.functions.descriptors import score_or_default
 from lexisieve.functions.hashing import set_key
-from lexisieve.session import broadcast_if_bounded, materialize
+from lexisieve.session import broadcast_if_bounded, materialize, small_side
 
 
 def _reference_sets(fragments: DataFrame, set_col: str, score: Column) -> DataFrame:
@@ -33,7 +33,7 @@ def containment_pairs(df: DataFrame, fragments: DataFrame, id_col: str, set_col:
         fragments, fragment_set_col or set_col, F.lit(1.0) if score is None else score))
     elements = df.select(F.col(id_col).alias("id"), F.explode(set_col).alias("element"))
     ref_elements = materialize(refs.select("frag_key", F.explode("frag_bits").alias("element")))
-    wanted = broadcast_if_bounded(materialize(ref_elements.select("element").distinct()))
+    wanted = small_side(ref_elements.select("element").distinct())
     frequency = elements.join(wanted, "element", "left_semi").groupBy("element").agg(
         F.count(F.lit(1)).alias("df"))
     anchors = materialize(
@@ -56,8 +56,8 @@ def remove_containing(df: DataFrame, fragments: DataFrame, id_col: str, set_col:
                       fragment_set_col: str | None = None) -> DataFrame:
     """Rows that contain none of the reference sets. An empty reference set
     matches nothing."""
-    hits = containment_pairs(df, fragments, id_col, set_col, fragment_set_col).select(
-        F.col("id").alias(id_col)).distinct()
+    hits = small_side(containment_pairs(df, fragments, id_col, set_col, fragment_set_col).select(
+        F.col("id").alias(id_col)).distinct())
     return df.join(hits, id_col, "left_anti").select(*df.columns)
 
 
@@ -67,7 +67,7 @@ def fragment_score(df: DataFrame, fragments: DataFrame, id_col: str, set_col: st
     """Sum of the scores of the contained fragments; ``default`` when the sum is
     zero or the row is invalid."""
     pairs = containment_pairs(df, fragments, id_col, set_col, fragment_set_col, F.col(score_col))
-    sums = pairs.groupBy(F.col("id").alias(id_col)).agg(F.sum("score").alias("__sum"))
+    sums = small_side(pairs.groupBy(F.col("id").alias(id_col)).agg(F.sum("score").alias("__sum")))
     ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
     nonzero = F.when(F.col("__sum") != 0, F.col("__sum"))
     return df.join(sums, id_col, "left").withColumn(out, score_or_default(ok, nonzero, default)).drop("__sum")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexisieve.functions.descriptors import zero_padded
-from lexisieve.session import default_partitions, materialize
+from lexisieve.session import default_partitions, materialize, small_side
 
 _PART, _POS = "__part", "__pos"
 _POS_BITS = 33  # monotonically_increasing_id: partition number above, position below
@@ -102,8 +102,8 @@ def grouped_rank(df: DataFrame, groups: Sequence[str], order: Sequence[Column |
     placed = _range_sorted(df, [*groups, *order], unique)
     ranked = _with_offsets(placed, {"__offset": F.count(F.lit(1))}).withColumn(
         "__global", F.col("__offset") + F.col(_POS)).drop(_PART, _POS, "__offset")
-    firsts = ranked.groupBy(*groups).agg(
-        F.min("__global").alias("__first"), F.count(F.lit(1)).alias("__size"))
+    firsts = small_side(ranked.groupBy(*groups).agg(
+        F.min("__global").alias("__first"), F.count(F.lit(1)).alias("__size")))
     same = [F.col(f"r.{g}").eqNullSafe(F.col(f"f.{g}")) for g in groups]
     condition = same[0]
     for extra in same[1:]:
@@ -124,7 +124,7 @@ def add_index(df: DataFrame, order: Sequence[Column | str], out: str = "ID",
     return ranked.withColumn(out, zero_padded(F.col("__idx"), F.lit(width), prefix)).drop("__idx")
 
 
-def top_n(df: DataFrame, order: Sequence[Column | str], n: int, heap_limit: int = 10_000) -> DataFrame:
+def top_n(df: DataFrame, order: Sequence[Column | str], n: int, heap_limit: int = 1_000) -> DataFrame:
     """First ``n`` rows: a per-task heap for small ``n``, the global rank beyond."""
     if n <= heap_limit:
         return df.orderBy(*_columns(order)).limit(n)

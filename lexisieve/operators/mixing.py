@@ -107,7 +107,7 @@ def make_batches(df: DataFrame, id_col: str, size: int, seed: int = 0, batch: st
 _BUCKETS = 1 << 16
 
 
-def sample_exact(df: DataFrame, id_col: str, n: int, seed: int = 0, small: int = 10_000) -> DataFrame:
+def sample_exact(df: DataFrame, id_col: str, n: int, seed: int = 0, small: int = 1_000) -> DataFrame:
     """Exactly ``n`` rows without replacement: those with the lowest seeded hash.
 
     A large sample counts rows per hash range (a bounded table), keeps whole

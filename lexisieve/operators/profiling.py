@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexisieve.functions.tokens import SPECIALS
 from lexisieve.operators.index import global_rank, running_sums
+from lexisieve.session import small_side
 
 
 def unpivot(df: DataFrame, values: Sequence[str], ids: Sequence[str] = (), name: str = "descriptor",
@@ -38,7 +39,7 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probabil
                       weight: str | None = None, in_task_rows: int = IN_TASK_ROWS) -> DataFrame:
     """Linearly interpolated percentiles per group, one column per entry. A
     table that is counted and found small uses Spark's ``percentile``."""
-    if df.limit(in_task_rows + 1).count() <= in_task_rows:
+    if df.count() <= in_task_rows:
         times = F.lit(1) if weight is None else F.col(weight)
         return df.groupBy(*groups).agg(
             F.percentile(value, list(probabilities.values()), times).alias("__q")
@@ -46,8 +47,8 @@ def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probabil
     one = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(one.alias("__n"))
     running = running_sums(counts, [*groups, value], {"__end": F.col("__n")}, unique=True)
-    bounds = running.groupBy(*groups).agg(
-        F.min(F.col("__end") - F.col("__n")).alias("__base"), F.max("__end").alias("__top"))
+    bounds = small_side(running.groupBy(*groups).agg(
+        F.min(F.col("__end") - F.col("__n")).alias("__base"), F.max("__end").alias("__top")))
     placed = running.join(bounds, list(groups)).withColumns({
         "__end": F.col("__end") - F.col("__base"), "__total": F.col("__top") - F.col("__base")})
     picks = []
@@ -91,13 +92,13 @@ def describe_columns(df: DataFrame, columns: Sequence[str], decimals: int = 2,
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
     """Equal-width bins between min and max of each column, the last one closed;
-    empty bins are listed. Ranges and bins are as many as columns x bins."""
+    empty bins are listed. The broadcast ranges are one row per column."""
     long = unpivot(df, columns).where(F.col("value").isNotNull())
     ranges = long.groupBy("descriptor").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     number = F.when(F.col("hi") > F.col("lo"), F.least(
         F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    counts = long.join(ranges, "descriptor").groupBy("descriptor", number.alias("bin")).agg(
+    counts = long.join(F.broadcast(ranges), "descriptor").groupBy("descriptor", number.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
     frame = ranges.select("descriptor", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return frame.join(counts, ["descriptor", "bin"], "left").select(
@@ -221,7 +222,7 @@ def cell_purity(train: DataFrame, rows: DataFrame, cell: str, label: str, positi
         F.sum(F.when(F.col(label) == positive, F.col("n")).otherwise(0)).alias("__pos"),
         F.sum("n").alias("__all")
     ).select(cell, F.when(F.col("__labels") <= 2, F.col("__pos") / F.col("__all")).otherwise(0.0).alias(out))
-    return rows.join(purity, cell, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    return rows.join(small_side(purity), cell, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
 def metric_means(df: DataFrame, metric: str, value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexisieve.operators.index import global_rank, grouped_rank, running_sums
+from lexisieve.session import small_side
 
 
 def rank_scored(df: DataFrame, order: Sequence[Column | str], rank: str = "rank") -> DataFrame:
@@ -107,7 +108,7 @@ def rolling_mean(df: DataFrame, group: str, order: Sequence[str], value: str, n:
 def centered(df: DataFrame, batch: str, value: str, out: str = "centered") -> DataFrame:
     """Value minus the mean of its batch. The mean is aggregated and joined, so
     a hot batch is not gathered in one window."""
-    means = df.groupBy(batch).agg(F.avg(value).alias("__mean"))
+    means = small_side(df.groupBy(batch).agg(F.avg(value).alias("__mean")))
     return df.join(means, batch).withColumn(out, F.col(value) - F.col("__mean")).drop("__mean")
 
 

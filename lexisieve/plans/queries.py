@@ -440,9 +440,10 @@ def knn_join(spark, sf):
 
 
 @query
-def knn_lsh(spark, sf):
-    vectors = table(spark, sf, "embeddings")
-    return knn.knn_lsh(vectors, vectors, "vec_id", "embedding", 5, threshold=1.2, bucket_length=0.5, exclude_self=True)
+def knn_tiled(spark, sf):
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return knn.knn_join(vectors, vectors, "id", "vec", 5, exclude_self=True, broadcast_points=0, tile_rows=128).withColumn(
+        "rank", F.col("rank").cast("long"))
 
 
 # --- sets -------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexisieve.operators.containment import containment_pairs
 from lexisieve.operators.rules import nan_to_null, rule_to_sql, rounded
 from lexisieve.operators.similarity import known_set_keys, with_set_key
-from lexisieve.session import materialize
+from lexisieve.session import broadcast_if_bounded, materialize, small_side
 
 # The stages, in order.
 STAGES = ("property", "hard", "soft", "atom", "graph")
@@ -33,22 +33,23 @@ def tag_cascade(df: DataFrame, known: DataFrame, fragments: DataFrame, rule: str
     complete = reduce(lambda a, c: a & F.col(c).isNotNull(), needed, F.lit(True))
     features = materialize(features.withColumn(
         "__ok", complete & F.coalesce(F.expr(rule_to_sql(rule)), F.lit(False))))
-    hits = [features.where(~F.col("__ok")).select(id_col, F.lit("property").alias("dropped_at"))]
+    hits = []
     alive = features.where("__ok")
     for stage in STAGES[1:]:
         if stage in ("hard", "soft"):
             keys = known_set_keys(alive, known, id_col, set_col,
                                   threshold="==1" if stage == "hard" else soft)
-            found = with_set_key(alive, set_col).join(keys, "__set", "left_semi").select(id_col)
+            found = with_set_key(alive, set_col).join(small_side(keys), "__set", "left_semi").select(id_col)
         else:
             column = scaffold_col if stage == "atom" else generic_col
             found = containment_pairs(alive, fragments, id_col, column).select(
                 F.col("id").alias(id_col)).distinct()
         found = materialize(found.select(id_col, F.lit(stage).alias("dropped_at")))
         hits.append(found)
-        alive = alive.join(found, id_col, "left_anti")
-    tags = reduce(DataFrame.unionByName, hits)
-    return features.drop("__ok").join(tags, id_col, "left")
+        alive = alive.join(broadcast_if_bounded(found.select(id_col)), id_col, "left_anti")
+    tags = broadcast_if_bounded(reduce(DataFrame.unionByName, hits))
+    return features.join(tags, id_col, "left").withColumn(
+        "dropped_at", F.when(~F.col("__ok"), "property").otherwise(F.col("dropped_at"))).drop("__ok")
 
 
 def rows_after(tagged: DataFrame, stage: str = "soft") -> DataFrame:

@@ -62,14 +62,19 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows`` + 1 rows.
+    """Hint a broadcast only after counting the rows.
 
-    Call it on a materialised, narrow table. A larger table is returned as it
-    is, so the join shuffles (with AQE skew handling) instead.
+    Call it on a materialised, narrow table, whose count is read from the file
+    footers. A larger table is returned as it is, so the join shuffles (with
+    AQE skew handling) instead.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A derived table as the small side of a join: written once, counted, and
+    broadcast if it is within bounds, so that the large side is not shuffled."""
+    return broadcast_if_bounded(materialize(df), max_rows)
 
 
 def plan_bytes(df: DataFrame) -> int:
