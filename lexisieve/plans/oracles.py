@@ -502,9 +502,9 @@ SELECT ID, SMILES FROM norm WHERE SMILES IS NOT NULL
   AND len(list_filter({atoms_of('SMILES')}, lambda y: NOT list_contains({KNOWN_TOKENS}, y))) = 0"""
 ORACLES["stream_distinct"] = "SELECT DISTINCT user_id, event_type FROM events"
 ORACLES["stream_metric_windows"] = """
-SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type AS metric,
-  round(avg(value), 6) AS mean, count(*) AS n FROM events
-GROUP BY 1, 2, 3 HAVING window_end <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
+SELECT strftime(day, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(day + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+  event_type AS metric, round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT *, date_trunc('day', ts) AS day FROM events)
+GROUP BY day, event_type HAVING day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
 ORACLES["map_partitions"] = """
 SELECT p_partkey, p_size, p_retailprice, round_even(p_retailprice * 2.0 / p_size, 6)::DOUBLE AS ratio FROM part"""
 ORACLES["udf_score"] = """

@@ -820,7 +820,9 @@ def stream_distinct(spark, sf):
 @query
 def stream_metric_windows(spark, sf):
     windows = streams.metric_windows(_stream(spark, sf, "events"), "ts", "event_type", "value", "1 day", delay="2 hours")
-    return rounded(streams.write_available(windows, scratch(spark, "out"), scratch(spark, "state")), "mean")
+    out = streams.write_available(windows, scratch(spark, "out"), scratch(spark, "state"))
+    as_text = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")}
+    return rounded(out.withColumns(as_text), "mean")
 
 
 # --- caller's functions -----------------------------------------------------
