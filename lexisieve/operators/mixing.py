@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexisieve.functions.barrier import evaluate_once
 from lexisieve.functions.hashing import MD5_RANGE, seeded, seeded_int, seeded_uniform
 from lexisieve.operators.dedup import difference_unique, distinct_by, label_union
 from lexisieve.operators.index import global_rank, grouped_rank, top_n
@@ -51,8 +52,8 @@ def draw_sources(spark, sizes: Mapping[str, int], ratios: Mapping[str, float], s
     for s in names:
         acc += ratios[s] / total
         ends.append(acc)
-    draws = spark.range(length).withColumnRenamed("id", "draw").withColumn(
-        "__u", seeded_uniform(seed, F.col("draw")))
+    draws = evaluate_once(
+        spark.range(length).withColumnRenamed("id", "draw"), __u=seeded_uniform(seed, F.col("draw")))
     pick = F.lit(names[-1])  # the last interval is closed
     size = F.lit(sizes[names[-1]])
     for s, end in reversed(list(zip(names[:-1], ends[:-1]))):

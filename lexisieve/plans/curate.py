@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexisieve.operators.cleaning import add_token_pass, keep_valid, normalize_rows
+from lexisieve.functions.barrier import evaluate_once
+from lexisieve.operators.cleaning import add_token_pass, keep_valid, normalize_rows, token_filter
 from lexisieve.operators.dedup import distinct_by
 from lexisieve.operators.index import add_index
 from lexisieve.sources.readers import read_items
@@ -21,6 +22,20 @@ def clean_rows(df: DataFrame, text_col: str = "SMILES", known: Sequence[str] | N
     return add_token_pass(normal, text_col, known, "__pass").where("__pass").drop("__pass")
 
 
+def clean_big_library(df: DataFrame, text_col: str = "SMILES", id_col: str = "ID", ring_flag: str | None = None,
+                      allowed_flag: str | None = None, property_col: str = "plogP",
+                      known: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The cleaning of a very large library: validity, ring flag, structure
+    alert flag (both supplied columns), token filter. Returns passing and
+    failing rows. Row-wise only, so it needs no shuffle and no chunks."""
+    kept = keep_valid(df, text_col)
+    for flag in (ring_flag, allowed_flag):
+        if flag is not None:
+            kept = kept.where(F.col(flag))
+    passed, failed, _ = token_filter(kept, text_col, id_col, property_col, known)
+    return passed, failed
+
+
 def curate(df: DataFrame, id_col: str = "ID", text_col: str = "SMILES", key: Column | None = None,
            known: Sequence[str] | None = None, dedup_again: bool = False,
            index_col: str | None = None) -> DataFrame:
@@ -33,7 +48,7 @@ def curate(df: DataFrame, id_col: str = "ID", text_col: str = "SMILES", key: Col
     pushed below the one shuffle of the distinct step by Catalyst where they
     do not depend on it.
     """
-    keyed = keep_valid(df, text_col).withColumn("__key", F.md5(text_col) if key is None else key)
+    keyed = evaluate_once(keep_valid(df, text_col), __key=F.md5(text_col) if key is None else key)
     one_each = distinct_by(keyed, "__key", id_col, drop_null_keys=True).drop("__key")
     normal = normalize_rows(one_each, text_col)
     passed = add_token_pass(normal, text_col, known, "__pass").where("__pass").drop("__pass")

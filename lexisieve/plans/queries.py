@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lexisieve.functions import descriptors as X
 from lexisieve.functions import fingerprint as FP
 from lexisieve.functions import tokens as TK
+from lexisieve.functions.barrier import evaluate_once
 from lexisieve.operators import (
     apply,
     balancing,
@@ -449,7 +450,7 @@ def knn_tiled(spark, sf):
 # --- sets -------------------------------------------------------------------
 
 def _keyed(spark, sf) -> DataFrame:
-    return documents(spark, sf).select("doc_id", "lang", F.md5("text").alias("key"))
+    return evaluate_once(documents(spark, sf), key=F.md5("text")).select("doc_id", "lang", "key")
 
 
 @query

@@ -118,6 +118,14 @@ def test_curate_a_file_end_to_end(spark, tmp_path):
     assert [tuple(r) for r in twice.collect()] == [("1", "CC")]
 
 
+def test_big_library_flags(spark):
+    df = spark.createDataFrame(
+        [("a", "CCO", 1.1, True, True), ("b", "CCO", 1.1, False, True), ("c", "CCO", 1.1, True, None), ("d", "C.C", 1.1, True, True),
+         ("e", "C(", 1.1, True, True)], "ID string, SMILES string, plogP double, ring boolean, mcf boolean")
+    passed, failed = curate.clean_big_library(df, ring_flag="ring", allowed_flag="mcf")
+    assert [r.ID for r in passed.collect()] == ["a"] and [r.ID for r in failed.collect()] == ["d"]
+
+
 def test_curate_adds_missing_ids(spark, tmp_path):
     (tmp_path / "noid.csv").write_text("SMILES\nCCO\nCCN\n")
     out = curate.curate_file(spark, str(tmp_path / "noid.csv"), str(tmp_path))
