@@ -46,10 +46,10 @@ DOC_GRAMS = f"{DOC_WORDS}, s AS (SELECT doc_id, {grams()} AS g FROM w)"
 DOC_ELEMENTS = f"{DOC_GRAMS}, e AS (SELECT doc_id, unnest(g) AS gram, len(g) AS n FROM s)"
 PAIRS = f"""{DOC_ELEMENTS},
 shared AS (SELECT a.doc_id AS l, b.doc_id AS r, any_value(a.n) AS ln, any_value(b.n) AS rn, count(*) AS c
-  FROM e a JOIN e b ON a.gram = b.gram WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 GROUP BY 1, 2),
+  FROM e a JOIN e b ON a.gram = b.gram WHERE a.doc_id NOT IN (SELECT doc_id FROM labels) AND b.doc_id IN (SELECT doc_id FROM labels) GROUP BY 1, 2),
 tc AS (SELECT l, r, ln, rn, c, c::DOUBLE / (ln + rn - c) AS tanimoto FROM shared)"""
 SETS = f"""{PAIRS},
-keyed AS (SELECT doc_id, doc_id % 2 AS side, list_sort(g) AS g FROM s WHERE len(g) > 0),
+keyed AS (SELECT doc_id, (doc_id IN (SELECT doc_id FROM labels))::INT AS side, list_sort(g) AS g FROM s WHERE len(g) > 0),
 reps AS (SELECT side, g, min(doc_id) AS rep, count(*) AS copies FROM keyed GROUP BY side, g),
 set_pairs AS (SELECT l AS left_rep, r AS right_rep, a.copies AS left_copies, b.copies AS right_copies, tanimoto
   FROM tc JOIN reps a ON a.rep = l AND a.side = 0 JOIN reps b ON b.rep = r AND b.side = 1)"""
@@ -71,8 +71,8 @@ ORACLES["scan_project"] = r"""
 SELECT doc_id AS ID, translate(text, chr(13) || chr(10) || chr(9), '   ') AS SMILES FROM documents"""
 ORACLES["tsv_roundtrip"] = "SELECT p_partkey, p_name, p_size, p_retailprice FROM part"
 ORACLES["merge_files"] = """
-SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey::DOUBLE END AS s_nationkey,
-  CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS s_acctbal FROM supplier"""
+SELECT s_suppkey, s_name, s_nationkey::DOUBLE AS s_nationkey, s_acctbal FROM supplier
+UNION ALL SELECT c_custkey, c_name, NULL, NULL FROM customer"""
 ORACLES["sdf_scan"] = """
 SELECT doc_id AS id, lang, translate(text, chr(13) || chr(10) || chr(9) || '> ', '_____') AS body, '0  0' AS counts
 FROM documents"""
@@ -96,7 +96,7 @@ hits AS (
   UNION ALL SELECT doc_id, 4 FROM hit_fine UNION ALL SELECT doc_id, 5 FROM hit_coarse),
 tagged AS (SELECT doc_id, any_value(n_words) AS n_words,
   coalesce(['property', 'hard', 'soft', 'atom', 'graph'][min(stage)], 'kept') AS dropped_at
-  FROM f LEFT JOIN hits USING (doc_id) WHERE doc_id % 2 = 0 GROUP BY doc_id)"""
+  FROM f LEFT JOIN hits USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY doc_id)"""
 _fine = contained(grams(), grams())
 _extra = f"""bw AS (SELECT item_id, {WORDS} AS words FROM benchmark),
 bf AS (SELECT item_id, unnest(g) AS gram, len(g) AS n FROM (SELECT item_id, {grams()} AS g FROM bw)),
@@ -118,7 +118,7 @@ SELECT dropped_at, count(*) AS n, sum(n_words)::BIGINT AS n_words FROM tagged GR
 # --- cleaning ---------------------------------------------------------------
 
 ORACLES["rule_filter"] = """
-SELECT * FROM (SELECT p_partkey, p_size, round_even(p_retailprice * 1.00037, 3) AS price FROM part WHERE p_size % 4 <> 0)
+SELECT * FROM (SELECT p_partkey, p_size, round_even(p_retailprice * 1.00037, 3) AS price FROM part WHERE NOT contains(p_name, 'ring'))
 WHERE 5 <= p_size AND p_size <= 40 AND 900.333 <= price AND price <= 960.5"""
 
 
@@ -176,7 +176,8 @@ ORACLES["token_filter"] = f"""
 SELECT ID, (len(list_filter(list_distinct(t), lambda x: NOT list_contains({KNOWN_TOKENS}, x))) = 0)::INT AS pass
 FROM (SELECT doc_id AS ID, {atoms_of(NOTATION)} AS t FROM documents)"""
 ORACLES["label_remap"] = """
-SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 WHEN 'P' THEN 2 END::INT AS label FROM orders"""
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 WHEN 'P' THEN 2 END::INT AS label
+FROM (SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT l_orderkey, l_linestatus FROM lineitem)"""
 ORACLES["penalized_score"] = """
 SELECT p_partkey, round(CASE WHEN p_size > 2 AND p_partkey % 5 <> 0
   THEN p_retailprice / 100 - p_size / 10.0::DOUBLE - p_partkey % 3 ELSE -5 END, 6)::DOUBLE AS score FROM part"""
@@ -248,9 +249,9 @@ SELECT ID, length(SMILES) AS length, len(tokens) AS n_tokens,
 # --- joins ------------------------------------------------------------------
 
 ORACLES["subtract_by_id"] = "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
-ORACLES["known_exact"] = f"""WITH {PAIRS} SELECT doc_id FROM documents WHERE doc_id % 2 = 0
+ORACLES["known_exact"] = f"""WITH {PAIRS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 AND doc_id NOT IN (SELECT l FROM tc WHERE c = ln AND c = rn)"""
-ORACLES["known_near"] = f"""WITH {PAIRS} SELECT doc_id FROM documents WHERE doc_id % 2 = 0
+ORACLES["known_near"] = f"""WITH {PAIRS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 AND doc_id NOT IN (SELECT l FROM tc WHERE c * 100 > 85 * (ln + rn - c))"""
 ORACLES["similarity_matrix"] = f"""WITH {SETS}
 SELECT left_rep, right_rep, left_copies, right_copies, round(tanimoto, 6) AS tanimoto FROM set_pairs WHERE tanimoto >= 0.01"""
@@ -290,11 +291,11 @@ SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, md5(text) AS key FR
 ORACLES["dedup_id"] = """
 SELECT min(o_orderkey) AS o_orderkey, o_custkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey"""
 ORACLES["difference_by_key"] = """
-SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, md5(text) AS key FROM documents WHERE doc_id % 2 = 0
-AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 1) GROUP BY md5(text)"""
+SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, md5(text) AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) GROUP BY md5(text)"""
 ORACLES["difference_unique"] = """
-SELECT min(doc_id) AS doc_id, any_value(lang) AS lang, md5(text) AS key FROM documents WHERE doc_id % 2 = 0
-AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 1) GROUP BY md5(text) HAVING count(*) = 1"""
+SELECT min(doc_id) AS doc_id, any_value(lang) AS lang, md5(text) AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) GROUP BY md5(text) HAVING count(*) = 1"""
 ORACLES["label_union"] = """
 SELECT item_id AS id, md5(text) AS key, 1::INT AS LABEL FROM benchmark UNION ALL SELECT doc_id, md5(text), 0 FROM documents"""
 ORACLES["generation_report"] = """
@@ -379,8 +380,8 @@ SELECT target, member, CASE WHEN r % 2 = 1 THEN (r + 1) // 2 ELSE -(r // 2) END
 UNION ALL SELECT DISTINCT target, target, 0 FROM s"""
 ORACLES["cell_purity"] = """
 WITH v AS (SELECT vec_id, floor(embedding[1] * 20)::BIGINT AS cell, label % 2 AS label FROM embeddings),
-p AS (SELECT cell, avg((label = 1)::INT) AS score FROM v WHERE vec_id % 2 = 0 GROUP BY cell)
-SELECT vec_id, cell, round(coalesce(score, 0), 6) AS score FROM v LEFT JOIN p USING (cell) WHERE vec_id % 2 = 1"""
+p AS (SELECT cell, avg((label = 1)::INT) AS score FROM v GROUP BY cell)
+SELECT vec_id, cell, round(coalesce(score, 0), 6) AS score FROM v LEFT JOIN p USING (cell)"""
 ORACLES["metric_means"] = "SELECT event_type AS metric, round(avg(value), 6) AS mean FROM events GROUP BY 1"
 
 # --- order and ranks --------------------------------------------------------

@@ -2,8 +2,8 @@
 
 No table holds molecules, so documents stand in: word 3-grams are the
 fingerprint, and ``notation`` (the text without characters outside the line
-notation) exercises the token operators. Known items are the documents with an
-odd id, candidates those with an even id.
+notation) exercises the token operators. The known set is the documents that
+have labels; all others are candidates.
 """
 
 from __future__ import annotations
@@ -82,8 +82,9 @@ def word_sets(df: DataFrame, id_col: str, q: int = 3, text: str = "text", out: s
     return materialize(words.select(id_col, *keep, FP.gram_set(F.col("words"), q).alias(out)))
 
 
-def halves(df: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    return df.where(F.col(id_col) % 2 == 0), df.where(F.col(id_col) % 2 == 1)
+def candidates_and_known(spark, sf, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    labelled = table(spark, sf, "labels").select("doc_id")
+    return df.join(labelled, "doc_id", "left_anti"), df.join(labelled, "doc_id", "left_semi")
 
 
 # --- sources and sinks ------------------------------------------------------
@@ -110,10 +111,9 @@ def tsv_roundtrip(spark, sf):
 @query
 def merge_files(spark, sf):
     folder = scratch(spark, "merge")
-    supplier = table(spark, sf, "supplier")
-    full, slim = halves(supplier, "s_suppkey")
-    writers.convert_delimited(full, f"{folder}/full", sep=";")
-    writers.convert_delimited(slim.select("s_suppkey", "s_name"), f"{folder}/slim", sep=";")
+    slim = table(spark, sf, "customer").select(F.col("c_name").alias("s_name"), F.col("c_custkey").alias("s_suppkey"))
+    writers.convert_delimited(table(spark, sf, "supplier"), f"{folder}/full", sep=";")
+    writers.convert_delimited(slim, f"{folder}/slim", sep=";")
     merged = readers.read_merged(spark, f"{folder}/*/*.csv")
     return merged.select(
         F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name",
@@ -170,7 +170,7 @@ def _cascade(spark, sf) -> DataFrame:
         FP.gram_set(F.col("words"), 3).alias("grams"),
         F.transform("words", lambda w: F.substring(w, 1, 2)).alias("heads")
     ).select("*", FP.gram_set(F.col("heads"), 3).alias("coarse")).drop("heads"))
-    candidates, known = halves(features)
+    candidates, known = candidates_and_known(spark, sf, features)
     bench = table(spark, sf, "benchmark").select("item_id", TK.word_tokens(F.col("text")).alias("words"))
     fragments = materialize(bench.select(
         F.lit(0).alias("one"), FP.gram_set(F.col("words"), 3).alias("grams"),
@@ -203,7 +203,7 @@ def stage_snapshots(spark, sf):
 @query
 def rule_filter(spark, sf):
     part = table(spark, sf, "part").select(
-        "p_partkey", "p_size", (F.col("p_retailprice") * 1.00037).alias("price"), (F.col("p_size") % 4 != 0).alias("ok"))
+        "p_partkey", "p_size", (F.col("p_retailprice") * 1.00037).alias("price"), (~F.col("p_name").contains("ring")).alias("ok"))
     rule = "5<=p_size & p_size<=40 & 900.333<=price & price<=960.5 & ok==True"
     return rules.rule_filter(part, rule, ["price"], flag="ok", required=["price"]).select("p_partkey", "p_size", "price")
 
@@ -250,10 +250,10 @@ def token_filter(spark, sf):
 
 @query
 def label_remap(spark, sf):
-    even, odd = halves(table(spark, sf, "orders"), "o_orderkey")
     mapping = {"F": 1, "O": 0, "P": 2}
-    both = even.unionByName(odd)
-    return both.select("o_orderkey", rules.relabel(F.col("o_orderstatus"), mapping).alias("label"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    items = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("status"), F.col("l_orderkey").alias("o_orderkey"))
+    return orders.unionByName(items).select("o_orderkey", rules.relabel(F.col("status"), mapping).alias("label"))
 
 
 @query
@@ -355,7 +355,7 @@ def subtract_by_id(spark, sf):
 
 
 def _doc_sets(spark, sf, q: int = 3) -> tuple[DataFrame, DataFrame]:
-    return halves(word_sets(documents(spark, sf), "doc_id", q))
+    return candidates_and_known(spark, sf, word_sets(documents(spark, sf), "doc_id", q))
 
 
 @query
@@ -466,12 +466,12 @@ def dedup_id(spark, sf):
 
 @query
 def difference_by_key(spark, sf):
-    return dedup.difference_by_key(*halves(_keyed(spark, sf)), "key", "doc_id")
+    return dedup.difference_by_key(*candidates_and_known(spark, sf, _keyed(spark, sf)), "key", "doc_id")
 
 
 @query
 def difference_unique(spark, sf):
-    return dedup.difference_unique(*halves(_keyed(spark, sf)), "key")
+    return dedup.difference_unique(*candidates_and_known(spark, sf, _keyed(spark, sf)), "key")
 
 
 @query
@@ -570,14 +570,13 @@ def entropy_order(spark, sf):
 def cell_purity(spark, sf):
     vectors = table(spark, sf, "embeddings").select(
         "vec_id", F.floor(F.col("embedding")[0] * 20).alias("cell"), (F.col("label") % 2).alias("label"))
-    train, rows = halves(vectors, "vec_id")
-    return rounded(profiling.cell_purity(train, rows.select("vec_id", "cell"), "cell", "label"), "score")
+    return rounded(profiling.cell_purity(vectors, vectors.select("vec_id", "cell"), "cell", "label"), "score")
 
 
 @query
 def kmeans_purity(spark, sf):
     vectors = table(spark, sf, "embeddings").withColumn("y", F.col("label") % 2)
-    train, rows = models.assign_cells(*halves(vectors, "vec_id"), "embedding", seed=7)
+    train, rows = models.assign_cells(vectors, vectors, "embedding", seed=7)
     return profiling.cell_purity(train, rows.select("vec_id", "cell"), "cell", "y")
 
 
