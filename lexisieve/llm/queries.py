@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexisieve.llm import packing, simple8b
+from lexisieve.llm import divergence, hilbert, packing, simple8b
 from lexisieve.llm.common import scratch, table
+from lexisieve.llm.oracles import ORACLES  # noqa: F401
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
 
 
 def query(fn):
@@ -28,3 +30,18 @@ def op3_simple8b(spark, sf_dir):
 @query
 def op6_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_divergence(spark, sf_dir):
+    judged = divergence.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         "kept", F.round("class_distance", 6).alias("class_distance"),
+                         F.round("common_distance", 6).alias("common_distance"))
+
+
+@query
+def op5_hilbert(spark, sf_dir):
+    placed = hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "curve")
