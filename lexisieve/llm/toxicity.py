@@ -2,8 +2,8 @@
 
 1. Terms (words, and beginnings of words) that mark toxic texts are mined from
    one part of the labelled training rows and dealt into lexicon voters; the
-   next steps use the other part, where a chance term shows its weakness. Pattern voters look at
-   the form of a text; one voter speaks for clean text.
+   next steps use the other part, where a chance term shows its weakness.
+   Pattern voters look at the form of a text; one speaks for clean text.
 2. A generative label model estimates every voter's accuracy by expectation
    maximisation, with the given label as one more, imperfect voter. Voters that
    agree beyond what the label explains are correlated; such voters share
@@ -181,7 +181,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         linear = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=100, standardization=False).fit(frame)
     finally:
         frame.unpersist()
-    lexicon = mine(sample, max(2, round(least_share * known.toxic)), tolerance, most_terms)
     return Model(lexicon, np.array(linear.coefficients.toArray()), float(linear.intercept))
 
 
