@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisieve.llm import divergence, hilbert, packing, simple8b, toxicity
+from lexisieve.llm import divergence, hilbert, neardup, packing, simple8b, toxicity
 from lexisieve.llm.common import scratch, table
 from lexisieve.llm.oracles import ORACLES  # noqa: F401
 
@@ -54,3 +54,8 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.score(docs.select("doc_id", "text"), model).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op1_minhash(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
