@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisieve.llm import divergence, hilbert, neardup, packing, simple8b, toxicity
+from lexisieve.llm import cells, divergence, hilbert, neardup, packing, simple8b, toxicity
 from lexisieve.llm.common import scratch, table
 from lexisieve.llm.oracles import ORACLES  # noqa: F401
 
@@ -59,3 +59,8 @@ def op8_toxicity(spark, sf_dir):
 @query
 def op1_minhash(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@query
+def op2_cells(spark, sf_dir):
+    return cells.near_vectors(table(spark, sf_dir, "embeddings"))
