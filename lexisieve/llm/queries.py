@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisieve.llm import cells, divergence, hilbert, neardup, packing, simple8b, toxicity
+from lexisieve.llm import cells, divergence, extraction, hilbert, neardup, packing, simple8b, toxicity
 from lexisieve.llm.common import scratch, table
 from lexisieve.llm.oracles import ORACLES  # noqa: F401
 
@@ -64,3 +64,9 @@ def op1_minhash(spark, sf_dir):
 @query
 def op2_cells(spark, sf_dir):
     return cells.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
