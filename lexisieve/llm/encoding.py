@@ -18,14 +18,16 @@ from tokenizers import Tokenizer
 
 BYTE_BPE = "byte_bpe_50k.json"
 
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: The vocabulary's split pattern in the terms of ``re``, right for ``_PLAIN`` texts.
-_SPLIT = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+_SPLIT = re.compile(
+    rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^ \t\n\r0-9{_LETTERS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 #: Printable ASCII, tab, line ends, and Latin letters: here both patterns agree.
-_PLAIN = re.compile(r"[ -~\t\n\rÀ-ÖØ-öø-ɏ]*")
-_SPACED_WORD = re.compile(r" [^\W\d_]+")
+_PLAIN = re.compile(rf"[ -~\t\n\r{_LETTERS}]*")
+_SPACED_WORD = re.compile(rf" [{_LETTERS}]+")
 _RUN = 2_000
-#: Words kept by a worker; then the memory is cleared and filled again.
-WORDS_KEPT = 500_000
+#: Words kept by a worker (some 250 MB); then the memory is cleared and filled again.
+WORDS_KEPT = 1_200_000
 
 
 class WordEncoder:
@@ -41,10 +43,8 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > WORDS_KEPT:
-            self.known.clear()
-        runs, others = [], []
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        runs, others, fresh = [], [], {}
         for word in words:
             (runs if _SPACED_WORD.fullmatch(word) else others).append(word)
         for at in range(0, len(runs), _RUN):
@@ -57,30 +57,30 @@ class WordEncoder:
                 continue
             data = ids.tobytes()
             for word, a, b in zip(part, cuts, cuts[1:]):
-                self.known[word] = data[a:b]
+                fresh[word] = data[a:b]
         for word in others:
-            self.known[word] = self._whole(word)
+            fresh[word] = self._whole(word)
+        if len(self.known) + len(fresh) > WORDS_KEPT:
+            self.known.clear()
+        self.known.update(fresh)
+        return fresh
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text is an empty one."""
         texts = ["" if t is None else t for t in texts]
         words = [_SPLIT.findall(t) if _PLAIN.fullmatch(t) else None for t in texts]
-        known = self.known
-        new = {w for ws in words if ws for w in ws if w not in known}
-        if new:
-            self._learn(new)
-            known = self.known
+        get = self.known.get
+        found = [None if ws is None else list(map(get, ws)) for ws in words]
+        new = {w for ws, ids in zip(words, found) if ids and None in ids for w, x in zip(ws, ids) if x is None}
+        fresh = self._learn(new) if new else {}
         out = []
-        for text, ws in zip(texts, words):
-            if ws is None:
+        for text, ws, ids in zip(texts, words, found):
+            if ids is None:
                 out.append(self._whole(text))
-                continue
-            try:
-                out.append(b"".join(map(known.__getitem__, ws)))
-            except KeyError:  # cleared since it was met
-                self._learn(set(ws))
-                known = self.known
-                out.append(b"".join(map(known.__getitem__, ws)))
+            elif None in ids:
+                out.append(b"".join([fresh[w] if x is None else x for w, x in zip(ws, ids)]))
+            else:
+                out.append(b"".join(ids))
         return out
 
 

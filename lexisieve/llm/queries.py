@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisieve.llm import cells, chat, divergence, extraction, hilbert, neardup, packing, simple8b, toxicity
+from lexisieve.llm import cells, chat, divergence, dropout, extraction, hilbert, neardup, packing, simple8b, toxicity
 from lexisieve.llm.common import scratch, table
 from lexisieve.llm.oracles import ORACLES  # noqa: F401
 
@@ -79,3 +79,11 @@ def op10_prefix_tree(spark, sf_dir):
                                   "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(*chat.prefix_tree(turns))
+
+
+@query
+def op9_dropout(spark, sf_dir):
+    decoded = dropout.decode(dropout.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.xxhash64("ids").alias("ids_hash"), F.md5("text").alias("decoded_md5"),
+                          F.char_length("text").cast("long").alias("n_chars"))

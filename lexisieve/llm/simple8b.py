@@ -26,7 +26,7 @@ from lexisieve.session import default_partitions
 #: Selector -> (ids per word, bits per id). Fixed values of the coding.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10),
              (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
-BLOCK_IDS = 4096
+BLOCK_IDS = 16_384
 CHUNK_IDS = 1 << 17
 _MAGIC = b"LS8B"
 
@@ -38,22 +38,19 @@ def _pack_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     eight at most would need it; all others hold their ids plainly.
     """
     n = len(ids)
-    need = np.zeros(n, np.uint8)
-    top = int(ids.max(initial=0))
-    for bits in range(top.bit_length()):
-        need += (ids >> bits) > 0
+    need = np.frexp(ids.astype(np.float64))[1]  # bit lengths
     escape_bits = next((b for b in (12, 15) if np.count_nonzero(ids >= (1 << b) - 1) * 8 <= n), 0)
     escaped = ids >= (1 << escape_bits) - 1 if escape_bits else np.zeros(n, bool)
     if escape_bits:
         need = np.where(escaped, escape_bits, need)
         ids = np.where(escaped, np.uint64((1 << escape_bits) - 1), ids)
     choice = np.full(n, 15, np.uint8)
-    low = int(need.min(initial=60))
+    narrow = np.cumsum(np.bincount(need, minlength=61))
     for selector in range(14, -1, -1):
         count, bits = SELECTORS[selector]
-        if bits < low or count > n:
+        if narrow[bits] < count:
             continue
-        wide = np.concatenate(([0], np.cumsum(need > bits)))
+        wide = np.concatenate(([0], np.cumsum(need > bits, dtype=np.int32)))
         fits = wide[count:] == wide[:-count]
         choice[:n - count + 1][fits] = selector
     counts = np.array([c for c, _ in SELECTORS])[choice].tolist()
@@ -77,6 +74,8 @@ def _pack_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def pack(ids: np.ndarray) -> bytes:
     """All ids (unsigned, below 2**32) as magic, counts, block offsets and blocks."""
     ids = np.asarray(ids, np.uint64)
+    if ids.max(initial=0) >> np.uint64(32):
+        raise ValueError("ids have 32 bits at most")
     blocks, offsets, size = [], [], 0
     for at in range(0, len(ids), BLOCK_IDS):
         part = ids[at:at + BLOCK_IDS]
