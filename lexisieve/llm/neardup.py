@@ -263,3 +263,14 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     for side in ("l", "r"):
         pairs = pairs.join(component.select(F.col("id").alias(side), F.col("component").alias(f"{side}_component")), side, "left")
     return pairs.where(F.coalesce("l_component", "l") != F.coalesce("r_component", "r"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                         percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, with their columns.
+
+    Of rows that repeat an id all stay or go together; rows without an id stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, percent)
+    gone = found.where("not kept").select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
