@@ -24,30 +24,76 @@ DESCRIPTORS = ("MW", "logP", "HBA", "HBD", "TPSA", "NRB", "MCF", "SA", "QED", "r
 ROUNDED = ("MW", "logP", "TPSA", "SA", "QED")
 DECIMALS = 3
 
-_ATOM = r"(?:[A-Za-z_]\w*|[-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?|[-+]?\.\d+)"
-_OPERATOR = r"(?:<=|>=|==|!=|<|>)"
-_COMPARISON = re.compile(rf"\(?\s*({_ATOM})\s*({_OPERATOR})\s*({_ATOM})\s*(?:({_OPERATOR})\s*({_ATOM})\s*)?\)?")
+_TOKEN = re.compile(r"\s*(?:(<=|>=|==|!=|<|>|[&|~()])|([A-Za-z_]\w*)|([-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?))")
+_COMPARES = frozenset(("<=", ">=", "==", "!=", "<", ">"))
+_WORD_FORMS = {"and": "&", "or": "|", "not": "~"}
+
+
+def _rule_tokens(rule: str) -> list[str]:
+    out, at = [], 0
+    while rule[at:].strip():
+        found = _TOKEN.match(rule, at)
+        if not found:
+            raise ValueError(f"cannot be read in a rule: {rule[at:].strip()!r}")
+        word = found[1] or found[2] or found[3]
+        out.append(_WORD_FORMS.get(word, word))
+        at = found.end()
+    return out
 
 
 def rule_to_sql(rule: str) -> str:
-    """Rule text to a Spark SQL predicate.
+    """Rule text to a bracketed Spark SQL predicate.
 
-    ``&`` and ``|`` become AND and OR (in SQL they would bind as bit
-    operators); only comparisons of names, numbers and booleans are let through.
+    A rule combines comparisons of names, numbers and booleans, chained ones
+    too, by ``~``, ``&`` and ``|`` (or not, and, or) and nested brackets, in
+    that order of binding. Anything else is refused.
     """
-    pieces = re.split(r"([&|])", rule.strip())
-    out = []
-    for i, piece in enumerate(pieces):
-        if i % 2:
-            out.append("AND" if piece == "&" else "OR")
-            continue
-        found = _COMPARISON.fullmatch(piece.strip())
-        if not found:
-            raise ValueError(f"not a comparison in the rule: {piece.strip()!r}")
-        a, op, b, op2, c = found.groups()
-        out.append(f"({_term(a)} {op} {_term(b)})" if c is None
-                   else f"({_term(a)} {op} {_term(b)} AND {_term(b)} {op2} {_term(c)})")
-    return " ".join(out)
+    tokens = _rule_tokens(rule)
+
+    def either(at: int) -> tuple[str, int]:
+        return _joined(at, both, "|", "OR")
+
+    def both(at: int) -> tuple[str, int]:
+        return _joined(at, single, "&", "AND")
+
+    def _joined(at: int, part, sign: str, word: str) -> tuple[str, int]:
+        sql, at = part(at)
+        while at < len(tokens) and tokens[at] == sign:
+            right, at = part(at + 1)
+            sql = f"({sql} {word} {right})"
+        return sql, at
+
+    def single(at: int) -> tuple[str, int]:
+        if at < len(tokens) and tokens[at] == "~":
+            sql, at = single(at + 1)
+            return f"(NOT {sql})", at
+        if at < len(tokens) and tokens[at] == "(":
+            sql, at = either(at + 1)
+            if at >= len(tokens) or tokens[at] != ")":
+                raise ValueError(f"a bracket is not closed in the rule: {rule!r}")
+            return sql, at + 1
+        return comparison(at)
+
+    def comparison(at: int) -> tuple[str, int]:
+        sides, signs = [], []
+        while True:
+            if at >= len(tokens) or not re.match(r"[\w.+-]", tokens[at]):
+                raise ValueError(f"not a comparison in the rule: {rule!r}")
+            sides.append(_term(tokens[at]))
+            at += 1
+            if at >= len(tokens) or tokens[at] not in _COMPARES:
+                break
+            signs.append(tokens[at])
+            at += 1
+        if not signs:
+            raise ValueError(f"not a comparison in the rule: {rule!r}")
+        links = [f"{a} {sign} {b}" for a, sign, b in zip(sides, signs, sides[1:])]
+        return "(" + " AND ".join(links) + ")", at
+
+    sql, at = either(0)
+    if at != len(tokens):
+        raise ValueError(f"left over in the rule: {' '.join(tokens[at:])!r}")
+    return sql
 
 
 def _term(word: str) -> str:

@@ -12,8 +12,8 @@ from lexisieve.operators.cleaning import add_token_pass, keep_valid, normalize_r
 from lexisieve.operators.dedup import distinct_by
 from lexisieve.operators.index import add_index
 from lexisieve.sources.readers import read_items
-from lexisieve.sources.writers import MARK, already_processed, save_result
-from lexisieve.sources.files import base_name, exists
+from lexisieve.sources.files import base_name
+from lexisieve.sources.writers import MARK, already_processed, finished, save_result
 
 
 def clean_rows(df: DataFrame, text_col: str = "SMILES", known: Sequence[str] | None = None) -> DataFrame:
@@ -60,14 +60,14 @@ def curate(df: DataFrame, id_col: str = "ID", text_col: str = "SMILES", key: Col
 
 
 def curate_file(spark, path: str, out_dir: str, fmt: str = "csv", **options) -> str:
-    """Read, curate and save a library file. An output that exists, or an input
-    that is already curated, is returned as it is."""
+    """Read, curate and save a library file. A finished output, or an input that
+    is already curated, is returned as it is; an unfinished output is redone."""
     if already_processed(path):
         return path
     out = f"{out_dir.rstrip('/')}/{base_name(path)}{MARK}.{fmt}"
-    if exists(spark, out):
+    if finished(spark, out):
         return out
     df = read_items(spark, path)
     if "ID" not in df.columns:
         df = add_index(df, ["SMILES"], "ID")
-    return save_result(curate(df, **options), out, fmt)
+    return save_result(curate(df, **options), out, fmt, mode="overwrite")

@@ -68,13 +68,15 @@ COARSE = f"(SELECT {grams('h')} FROM (SELECT list_transform(words, lambda x: sub
 # --- sources and sinks ------------------------------------------------------
 
 ORACLES["scan_project"] = r"""
-SELECT doc_id AS ID, translate(text, chr(13) || chr(10) || chr(9), '   ') AS SMILES FROM documents"""
+SELECT doc_id AS ID, text AS SMILES FROM documents"""
+ORACLES["resume_curate"] = """
+SELECT min(p_partkey::VARCHAR)::BIGINT AS ID, 'CC' || repeat('C', p_size % 7) AS SMILES, true AS same_path FROM part GROUP BY p_size % 7"""
 ORACLES["tsv_roundtrip"] = "SELECT p_partkey, p_name, p_size, p_retailprice FROM part"
 ORACLES["merge_files"] = """
 SELECT s_suppkey, s_name, s_nationkey::DOUBLE AS s_nationkey, s_acctbal FROM supplier
 UNION ALL SELECT c_custkey, c_name, NULL, NULL FROM customer"""
 ORACLES["sdf_scan"] = """
-SELECT doc_id AS id, lang, translate(text, chr(13) || chr(10) || chr(9) || '> ', '_____') AS body, '0  0' AS counts
+SELECT doc_id AS id, lang, rtrim(translate(text, chr(13) || chr(10), '__'), ' ') AS body, '0  0' AS counts
 FROM documents"""
 ORACLES["file_identity"] = " UNION ALL ".join(
     f"SELECT '{t}' AS file_name, 'parquet' AS file_format, count(*) AS n FROM {t}"
@@ -119,7 +121,7 @@ SELECT dropped_at, count(*) AS n, sum(n_words)::BIGINT AS n_words FROM tagged GR
 
 ORACLES["rule_filter"] = """
 SELECT * FROM (SELECT p_partkey, p_size, round_even(p_retailprice * 1.00037, 3) AS price FROM part WHERE NOT contains(p_name, 'ring'))
-WHERE 5 <= p_size AND p_size <= 40 AND 900.333 <= price AND price <= 960.5"""
+WHERE (p_size < 5 OR (20 <= p_size AND p_size <= 40 AND NOT p_size = 30)) AND 900.333 <= price AND price <= 960.5"""
 
 
 def _rule(rule: str) -> str:

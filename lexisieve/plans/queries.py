@@ -93,9 +93,9 @@ def candidates_and_known(spark, sf, df: DataFrame) -> tuple[DataFrame, DataFrame
 def scan_project(spark, sf):
     path = scratch(spark, "csv")
     flat = documents(spark, sf).select(
-        "lang", F.col("doc_id").alias("ID"), F.translate("text", "\r\n\t", "   ").alias("SMILES"), "n_chars")
-    writers.save_result(flat, path, "csv")
-    return readers.read_delimited(spark, path, columns=["ID", "SMILES"]).select(
+        "lang", F.col("doc_id").alias("ID"), F.col("text").alias("SMILES"), "n_chars")
+    writers.save_result(flat, path, "csv", line_escapes=True)
+    return readers.read_delimited(spark, path, columns=["ID", "SMILES"], line_escapes=True).select(
         F.col("ID").cast("long").alias("ID"), "SMILES")
 
 
@@ -125,13 +125,28 @@ def sdf_scan(spark, sf):
     path = scratch(spark, "sdf")
     record = F.concat(
         F.col("doc_id").cast("string"), F.lit("\n  made\n\n  0  0\nM  END\n> <LANG>\n"), F.col("lang"),
-        F.lit("\n\n> <SMILES>\n"), F.translate("text", "\r\n\t> ", "_____"), F.lit("\n\n"))
-    documents(spark, sf).select(record.alias("value")).write.option("lineSep", "$$$$\n").text(path)
+        F.lit("\n\n> <SMILES>\n"), F.translate("text", "\r\n", "__"), F.lit("\n\n$$$$"))
+    mixed = F.when(F.col("doc_id") % 2 == 0, F.concat(F.replace(record, F.lit("\n"), F.lit("\r\n")), F.lit("\r"))).otherwise(record)
+    documents(spark, sf).select(mixed.alias("value")).write.text(path)
     read = readers.read_structures(spark, path)
     return read.select(F.col("ID").cast("long").alias("id"), F.col("items")["LANG"].alias("lang"),
                        F.col("SMILES").alias("body"), F.trim("counts").alias("counts"))
 
 
+@query
+def resume_curate(spark, sf):
+    """A library is curated anew where an earlier run left an unfinished output, and only there."""
+    raw, out = f"{scratch(spark, 'raw')}/lib.csv", scratch(spark, "resumed")
+    writers.save_result(table(spark, sf, "part").select(F.col("p_partkey").alias("ID"), F.concat(
+        F.lit("CC"), F.repeat(F.lit("C"), (F.col("p_size") % 7).cast("int"))).alias("SMILES")), raw, "csv")
+    unfinished = f"{out}/lib_preprocess.csv"
+    table(spark, sf, "region").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").csv(unfinished)
+    first = curation.curate_file(spark, raw, out)
+    again = curation.curate_file(spark, raw, out)
+    return readers.read_delimited(spark, again, multi_line=False).select(
+        F.col("ID").cast("long").alias("ID"), "SMILES", F.lit(first == again == unfinished).alias("same_path"))
+
+
 @query
 def file_identity(spark, sf):
     out = None
@@ -204,7 +219,7 @@ def stage_snapshots(spark, sf):
 def rule_filter(spark, sf):
     part = table(spark, sf, "part").select(
         "p_partkey", "p_size", (F.col("p_retailprice") * 1.00037).alias("price"), (~F.col("p_name").contains("ring")).alias("ok"))
-    rule = "5<=p_size & p_size<=40 & 900.333<=price & price<=960.5 & ok==True"
+    rule = "(p_size<5 | (20<=p_size<=40 & ~(p_size==30))) & 900.333<=price & price<=960.5 & ok==True"
     return rules.rule_filter(part, rule, ["price"], flag="ok", required=["price"]).select("p_partkey", "p_size", "price")
 
 

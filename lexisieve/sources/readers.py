@@ -3,21 +3,42 @@ types, nothing is inferred from the data."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexisieve.sources.files import file_format, glob
 
+
+
+def unescape_lines(column: Column) -> Column:
+    """Undo :func:`lexisieve.sources.writers.escape_lines`."""
+    parts = F.split(column, r"\\\\")
+    return F.array_join(F.transform(parts, lambda p: F.replace(
+        F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))), "\\")
+
+
 ITEM_SCHEMA = T.StructType([T.StructField("ID", T.StringType()), T.StructField("SMILES", T.StringType())])
 
 
 def read_delimited(spark: SparkSession, path, sep: str = ",", schema: T.StructType | None = None,
-                   columns: list[str] | None = None) -> DataFrame:
+                   columns: list[str] | None = None, multi_line: bool = True,
+                   line_escapes: bool = False) -> DataFrame:
     """Delimited text with a header; ``.gz`` is unpacked by Spark. ``schema``
-    casts the named columns, unreadable values becoming null."""
-    df = spark.read.option("header", True).option("sep", sep).option("escape", '"').option(
-        "multiLine", False).csv(path)
+    casts the named columns, unreadable values becoming null.
+
+    Quoted values may hold line ends; such a file is read by one task. Files
+    known to have none can be split with ``multi_line=False``, and so can files
+    written with ``line_escapes=True``, whose values are given back unchanged.
+    """
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"')
+    df = reader.option("multiLine", multi_line and not line_escapes).option("lineSep", "\n").csv(path)
+    if not line_escapes:  # the last value of a line that ends in a carriage return and a line feed
+        last = df.columns[-1]
+        named = last.removesuffix("\r")
+        df = df.withColumn(last, F.regexp_replace(f"`{last}`", "\r$", "")).withColumnRenamed(last, named) if last != named else df
+    else:
+        df = df.select(*[unescape_lines(F.col(f"`{c}`")).alias(c) for c in df.columns])
     if schema is not None:
         return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
     return df.select(*columns) if columns else df
@@ -60,13 +81,16 @@ def read_big_library(spark: SparkSession, path) -> DataFrame:
 
 def read_merged(spark: SparkSession, pattern: str, sep: str = ";") -> DataFrame:
     """All files of a glob as one table. Files are read together per distinct
-    header, and columns a file lacks are null."""
-    by_header: dict[str, list[str]] = {}
-    for path in glob(spark, pattern):
-        names = tuple(read_delimited(spark, path, sep=sep).columns)
-        by_header.setdefault("\x1f".join(names), []).append(path)
-    if not by_header:
+    header, and columns a file lacks are null. The headers are the first lines
+    of all files, read in one job."""
+    if not glob(spark, pattern):
         raise FileNotFoundError(pattern)
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"),
+                                            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    firsts = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    by_header: dict[str, list[str]] = {}
+    for row in firsts.collect():
+        by_header.setdefault(row["header"], []).append(row["path"])
     out = None
     for paths in by_header.values():
         part = read_delimited(spark, paths, sep=sep)
@@ -86,10 +110,14 @@ def read_notation_lines(spark: SparkSession, path: str, id_col: str = "ID",
 
 def read_structures(spark: SparkSession, path, id_col: str = "ID", text_col: str = "SMILES",
                     text_tag: str = "SMILES", id_tag: str | None = None,
-                    record_end: str = "$$$$\n") -> DataFrame:
+                    record_end: str = "\n$$$$") -> DataFrame:
     """Multi-record structure files, one row per record: title, counts line and
-    the data items as a map. The notation has to be one of the items."""
-    record = F.regexp_replace("value", "\r", "")
+    the data items as a map. The notation has to be one of the items.
+
+    Lines may end with or without a carriage return, in one file too. Records
+    are cut at the line ``$$$$``; what is left of that line's end is removed.
+    """
+    record = F.regexp_replace(F.regexp_replace("value", "^[ \t]*\r?\n", ""), "\r(?=\n|$)", "")
     lines = F.split("record", "\n")
     keys = F.regexp_extract_all("record", F.lit(r"(?:^|\n)>[^\n]*<([^>\n]+)>[^\n]*\n((?:[^\n]+\n?)*)"), F.lit(1))
     values = F.regexp_extract_all("record", F.lit(r"(?:^|\n)>[^\n]*<([^>\n]+)>[^\n]*\n((?:[^\n]+\n?)*)"), F.lit(2))

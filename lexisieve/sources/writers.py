@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexisieve.sources.files import exists
@@ -20,9 +20,17 @@ def without_helpers(df: DataFrame, helpers=HELPER_COLUMNS) -> DataFrame:
 
 
 def save_result(df: DataFrame, path: str, fmt: str = "csv", helpers=HELPER_COLUMNS,
-                mode: str = "errorifexists", max_records: int | None = None) -> str:
-    """Write without helper columns; ``max_records`` splits into files of a fixed size."""
-    writer = without_helpers(df, helpers).write.mode(mode)
+                mode: str = "errorifexists", max_records: int | None = None, line_escapes: bool = False) -> str:
+    """Write without helper columns; ``max_records`` splits into files of a fixed size.
+
+    CSV values keep their line ends inside quotes, or with ``line_escapes``
+    written as backslash and letter, so that files stay one row per line.
+    """
+    kept = without_helpers(df, helpers)
+    if line_escapes:
+        kept = kept.withColumns({f.name: escape_lines(F.col(f"`{f.name}`")) for f in kept.schema.fields
+                                 if f.dataType.typeName() == "string"})
+    writer = kept.write.mode(mode)
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)
     if fmt == "csv":
@@ -31,11 +39,22 @@ def save_result(df: DataFrame, path: str, fmt: str = "csv", helpers=HELPER_COLUM
     return path
 
 
+def escape_lines(column: Column) -> Column:
+    """Line ends and backslashes as a backslash and a letter or backslash."""
+    doubled = F.replace(column, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(doubled, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def finished(spark, path: str) -> bool:
+    """Whether an output folder was committed. What a broken run left is not."""
+    return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
 def save_once(df: DataFrame, path: str, fmt: str = "csv", **options) -> bool:
-    """Write unless the output exists; tells whether it wrote."""
-    if exists(df.sparkSession, path):
+    """Write unless a finished output exists; tells whether it wrote. An unfinished one is replaced."""
+    if finished(df.sparkSession, path):
         return False
-    save_result(df, path, fmt, mode="ignore", **options)
+    save_result(df, path, fmt, mode="overwrite", **options)
     return True
 
 

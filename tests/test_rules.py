@@ -54,3 +54,35 @@ def test_relabel_stops_on_unknown_labels(spark):
     with pytest.raises(Exception, match="unknown label"):
         df.union(spark.createDataFrame([("Maybe",)], "l string")).select(out).collect()
     assert spark.range(1).select(rules.to_number(F.lit("x"))).first()[0] is None
+
+
+def test_brackets_group(spark):
+    df = spark.createDataFrame([(200.0, 9.0), (200.0, 1.0), (400.0, 1.0), (600.0, 4.0)], "MW double, logP double")
+    kept = lambda rule: sorted((r.MW, r.logP) for r in df.where(F.expr(rules.rule_to_sql(rule))).collect())
+    assert kept("(MW<300 | MW>500) & logP<5") == [(200.0, 1.0), (600.0, 4.0)]
+    assert kept("((MW<300) | (MW>500)) & ~(logP<5)") == [(200.0, 9.0)]
+    assert kept("not (MW<300 or logP>=4)") == [(400.0, 1.0)]
+    for bad in ("(MW<300", "MW<300)", "MW<300 &", "& MW<300", "MW<300 logP<5", "()"):
+        with pytest.raises(ValueError):
+            rules.rule_to_sql(bad)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_rules_agree_with_pandas(spark, seed):
+    import random
+
+    import pandas as pd
+
+    pick = random.Random(seed)
+
+    def rule(depth: int) -> str:
+        if depth == 0 or pick.random() < 0.2:
+            return f"({pick.choice('ab')} {pick.choice(['<', '<=', '>', '>=', '==', '!='])} {pick.randint(0, 5)})"
+        text = f"({rule(depth - 1)} {pick.choice('&|')} {rule(depth - 1)})"
+        return "~" + text if pick.random() < 0.3 else text
+
+    frame = pd.DataFrame([(a, b) for a in range(6) for b in range(6)], columns=["a", "b"])
+    df = spark.createDataFrame(frame)
+    for text in [rule(3) for _ in range(5)]:
+        want = sorted(map(tuple, frame.query(text).to_numpy().tolist()))
+        assert sorted((r.a, r.b) for r in df.where(F.expr(rules.rule_to_sql(text))).collect()) == want

@@ -130,3 +130,36 @@ def test_curate_adds_missing_ids(spark, tmp_path):
     (tmp_path / "noid.csv").write_text("SMILES\nCCO\nCCN\n")
     out = curate.curate_file(spark, str(tmp_path / "noid.csv"), str(tmp_path))
     assert {r.ID for r in readers.read_delimited(spark, out).collect()} == {"0", "1"}
+
+
+@pytest.mark.parametrize("escapes", [False, True])
+def test_line_ends_and_quotes_survive_csv(spark, tmp_path, escapes):
+    texts = ['a\nb "q", c', "x\\n\\\\y", 'tail "', "r\rs", None, "plain"]
+    if not escapes:
+        texts.remove("r\rs")
+    df = spark.createDataFrame([(str(i), t, "z") for i, t in enumerate(texts)], "ID string, SMILES string, more string")
+    path = writers.save_result(df, str(tmp_path / "t.csv"), "csv", line_escapes=escapes)
+    back = readers.read_delimited(spark, path, line_escapes=escapes)
+    assert [r.SMILES for r in back.orderBy("ID").collect()] == texts
+
+
+def test_carriage_returns_at_line_ends(spark, tmp_path):
+    (tmp_path / "w.csv").write_bytes(b'ID,SMILES\r\n1,CC\r\n2,"C\nO"\r\n')
+    rows = readers.read_delimited(spark, str(tmp_path / "w.csv")).collect()
+    assert [(r.ID, r.SMILES) for r in rows] == [("1", "CC"), ("2", "C\nO")]
+
+
+def test_structures_with_any_line_end(spark, tmp_path):
+    record = "{}\n  made\n\n  1  0\nM  END\n> <SMILES>\n{}\n\n$$$$\n"
+    text = record.format("a", "CC").replace("\n", "\r\n") + record.format("b", "CO") + record.format("c", "CN").replace("\n", "\r\n")
+    (tmp_path / "m.sdf").write_bytes(text.encode())
+    rows = readers.read_structures(spark, str(tmp_path / "m.sdf")).orderBy("ID").collect()
+    assert [(r.ID, r.SMILES, r.counts.strip()) for r in rows] == [("a", "CC", "1  0"), ("b", "CO", "1  0"), ("c", "CN", "1  0")]
+
+
+def test_unfinished_output_is_redone(spark, tmp_path):
+    (tmp_path / "out" / "_temporary").mkdir(parents=True)
+    df = spark.createDataFrame([("1", "CC")], "ID string, SMILES string")
+    assert writers.save_once(df, str(tmp_path / "out"))
+    assert not writers.save_once(df, str(tmp_path / "out"))
+    assert readers.read_delimited(spark, str(tmp_path / "out")).count() == 1
