@@ -35,7 +35,8 @@ def _balanced(tokens: Column, opening: str, closing: str) -> Column:
         .when(t == closing, acc - 1)
         .otherwise(acc),
     )
-    return depth == 0
+    none = ~F.array_contains(tokens, opening) & ~F.array_contains(tokens, closing)
+    return F.when(none, True).otherwise(depth == 0)
 
 
 def ring_labels(text: Column) -> Column:

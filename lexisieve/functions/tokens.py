@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Two-letter atoms that are one token.
@@ -110,11 +110,16 @@ def decode_with_vocab(ids: Column, names: Column, bos: Column | None = None,
     return F.array_join(F.transform(body, lambda i: F.coalesce(F.try_element_at(names, i), F.lit(UNK))), "")
 
 
-def vocab_columns(vocab, limit: int = 20_000) -> tuple[Column, Column, dict[str, int]]:
-    """A learned ``token, id`` table as two literal maps and a dict. It is
-    collected, so it has to be small, as character vocabularies are."""
-    rows = vocab.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} tokens is not a character vocabulary")
-    ids = {r["token"]: int(r["id"]) for r in rows}
-    return vocabulary_map(ids), vocabulary_map({i: t for t, i in ids.items()}), ids
+def encode_by_join(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, specials: Mapping[str, int]) -> DataFrame:
+    """``id``, ``ids``: begin mark, ids of the tokens by join with ``token, id``, end mark.
+
+    The vocabulary may have any size; tokens outside it get the unknown id.
+    Rows are put together again by id, so ids have to be unique.
+    """
+    each = df.select(id_col, F.posexplode_outer(tokens_col).alias("__pos", "token"))
+    named = each.join(vocab.select("token", "id"), "token", "left").select(
+        id_col, F.when(F.col("token").isNotNull(), F.struct(
+            "__pos", F.coalesce("id", F.lit(specials[UNK])).cast("long").alias("id"))).alias("__t"))
+    ordered = named.groupBy(id_col).agg(F.sort_array(F.collect_list("__t")).alias("__t"))
+    mark = lambda name: F.array(F.lit(specials[name]).cast("long"))
+    return ordered.select(id_col, F.concat(mark(BOS), F.col("__t")["id"], mark(EOS)).alias("ids"))

@@ -1,4 +1,4 @@
-"""Where a caller's Python meets a table: partitions, scores and small groups.
+"""Where a caller's Python meets a table: partitions and scores.
 A domain toolkit (a chemistry library, say) is plugged in here."""
 
 from __future__ import annotations
@@ -38,13 +38,3 @@ def scorer(load: Callable[[], Callable[[pd.Series], pd.Series]], default: float
 def add_score(df: DataFrame, load, column: Column | str, default: float = -1.0, out: str = "score") -> DataFrame:
     return df.withColumn(out, scorer(load, default)(column))
 
-
-def train_per_group(df: DataFrame, group: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema,
-                    max_rows: int = 1_000_000) -> DataFrame:
-    """One pandas training call per group. A group has to fit in a task: the
-    query stops when one has more than ``max_rows`` rows."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_rows)
-    large = sizes.limit(1).collect()
-    if large:
-        raise ValueError(f"group {large[0][0]!r} has {large[0][1]} rows, more than {max_rows}; use Spark ML for it")
-    return df.groupBy(group).applyInPandas(fn, schema)

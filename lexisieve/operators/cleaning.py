@@ -25,9 +25,9 @@ def add_validity(df: DataFrame, text_col: str, tokens_col: str = "tokens",
     ).withColumn("valid", F.col("invalid_reason").isNull())
 
 
-def keep_valid(df: DataFrame, text_col: str) -> DataFrame:
+def keep_valid(df: DataFrame, text_col: str, known: Sequence[str] | None = None) -> DataFrame:
     staged = evaluate_once(df, __tokens=atom_tokens(F.col(text_col)))
-    checked = evaluate_once(staged, __reason=invalid_reason(F.col(text_col), F.col("__tokens")))
+    checked = evaluate_once(staged, __reason=invalid_reason(F.col(text_col), F.col("__tokens"), known))
     return checked.where(F.col("__reason").isNull()).drop("__tokens", "__reason")
 
 

@@ -219,10 +219,10 @@ def grid_side(n: int) -> int:
 
 
 def assign_cells(train: DataFrame, rows: DataFrame, vec_col: str, seed: int = 0, cells: int | None = None,
-                 out: str = "cell", max_cells: int = 4096) -> tuple[DataFrame, DataFrame]:
+                 out: str = "cell") -> tuple[DataFrame, DataFrame]:
     """``train`` and ``rows`` with a k-means cell in place of a map node. The
-    number of cells follows the map's rule up to ``max_cells``."""
-    k = cells or min(grid_side(train.count()) ** 2, max_cells)
+    number of cells follows the map's rule unless ``cells`` is given."""
+    k = cells or grid_side(train.count()) ** 2
 
     def vectors(df: DataFrame) -> DataFrame:
         return df.withColumn("__v", array_to_vector(F.col(vec_col)))

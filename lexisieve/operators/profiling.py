@@ -31,21 +31,12 @@ def unpivot_compare(left: DataFrame, right: DataFrame, columns: Sequence[str],
     return parts[0].unionByName(parts[1]).select("value", "descriptor", "data")
 
 
-#: Rows whose distinct values fit in one aggregation buffer.
-IN_TASK_ROWS = 500_000
-
-
 def exact_percentiles(df: DataFrame, groups: Sequence[str], value: str, probabilities: Mapping[str, float],
-                      weight: str | None = None, in_task_rows: int = IN_TASK_ROWS) -> DataFrame:
-    """Linearly interpolated percentiles per group, one column per entry. A
-    table that is counted and found small uses Spark's ``percentile``."""
-    if df.count() <= in_task_rows:
-        times = F.lit(1) if weight is None else F.col(weight)
-        return df.groupBy(*groups).agg(
-            F.percentile(value, list(probabilities.values()), times).alias("__q")
-        ).select(*groups, *[F.col("__q")[i].alias(n) for i, n in enumerate(probabilities)])
-    one = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(one.alias("__n"))
+                      weight: str | None = None) -> DataFrame:
+    """Linearly interpolated percentiles per group, one column per entry; null
+    for a group without values."""
+    one = F.lit(1) if weight is None else F.col(weight)
+    counts = df.groupBy(*groups, value).agg(F.sum(F.when(F.col(value).isNotNull(), one).otherwise(0)).alias("__n"))
     running = running_sums(counts, [*groups, value], {"__end": F.col("__n")}, unique=True)
     bounds = small_side(running.groupBy(*groups).agg(
         F.min(F.col("__end") - F.col("__n")).alias("__base"), F.max("__end").alias("__top")))

@@ -18,7 +18,7 @@ from lexisieve.sources.writers import MARK, already_processed, finished, save_re
 
 def clean_rows(df: DataFrame, text_col: str = "SMILES", known: Sequence[str] | None = None) -> DataFrame:
     """The stateless part of :func:`curate`, also usable on a stream."""
-    normal = normalize_rows(keep_valid(df, text_col), text_col)
+    normal = normalize_rows(keep_valid(df, text_col, known), text_col)
     return add_token_pass(normal, text_col, known, "__pass").where("__pass").drop("__pass")
 
 
@@ -28,7 +28,7 @@ def clean_big_library(df: DataFrame, text_col: str = "SMILES", id_col: str = "ID
     """The cleaning of a very large library: validity, ring flag, structure
     alert flag (both supplied columns), token filter. Returns passing and
     failing rows. Row-wise only, so it needs no shuffle and no chunks."""
-    kept = keep_valid(df, text_col)
+    kept = keep_valid(df, text_col, known)
     for flag in (ring_flag, allowed_flag):
         if flag is not None:
             kept = kept.where(F.col(flag))
@@ -48,7 +48,7 @@ def curate(df: DataFrame, id_col: str = "ID", text_col: str = "SMILES", key: Col
     pushed below the one shuffle of the distinct step by Catalyst where they
     do not depend on it.
     """
-    keyed = evaluate_once(keep_valid(df, text_col), __key=F.md5(text_col) if key is None else key)
+    keyed = evaluate_once(keep_valid(df, text_col, known), __key=F.md5(text_col) if key is None else key)
     one_each = distinct_by(keyed, "__key", id_col, drop_null_keys=True).drop("__key")
     normal = normalize_rows(one_each, text_col)
     passed = add_token_pass(normal, text_col, known, "__pass").where("__pass").drop("__pass")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from lexisieve.functions.tokens import SPECIALS, TOKEN_IDS, TWO_LETTER_ATOMS, TWO_LETTER_ATOMS_EXTENDED
+from lexisieve.functions.tokens import SPECIALS, TWO_LETTER_ATOMS, TWO_LETTER_ATOMS_EXTENDED
 from lexisieve.operators.rules import RULES
 
 ORACLES: dict[str, str] = {}
 
 # --- fragments of SQL -------------------------------------------------------
 
-NOTATION = r"regexp_replace(text, '[^BCFHINOPScnops0-9()\[\]=#+.\-]', '', 'g')"
 WORDS = r"list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda w: w <> '')"
 
 
@@ -38,8 +37,9 @@ def md5_int(text: str) -> str:
     return f"('0x' || substr({text}, 1, 7))::BIGINT"
 
 
-VOCAB_MAP = "MAP {" + ", ".join("'" + t.replace("'", "''") + f"': {i}" for t, i in TOKEN_IDS.items()) + "}"
-KNOWN_TOKENS = sql_list(TOKEN_IDS)
+PLAIN = [*(chr(c) for c in range(32, 127)), "Cl", "Br", "Na", "Si", "Li", "Se"]
+VOCAB_MAP = "MAP {" + ", ".join("'" + t.replace("'", "''") + f"': {i + 3}" for i, t in enumerate(PLAIN)) + "}"
+KNOWN_TOKENS = sql_list(PLAIN)
 
 DOC_WORDS = f"w AS (SELECT doc_id, lang, n_chars, {WORDS} AS words FROM documents)"
 DOC_GRAMS = f"{DOC_WORDS}, s AS (SELECT doc_id, {grams()} AS g FROM w)"
@@ -138,14 +138,14 @@ ORACLES["drop_invalid"] = """
 SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL"""
 
 VALIDITY = f"""
-n AS (SELECT doc_id AS ID, {NOTATION} AS SMILES FROM documents),
+n AS (SELECT doc_id AS ID, text AS SMILES FROM documents),
 t AS (SELECT ID, SMILES, {atoms_of('SMILES')} AS tokens FROM n),
 u AS (SELECT ID, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS i FROM t),
 d AS (SELECT ID, i, tok,
   sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY ID ORDER BY i) AS p,
   sum(CASE tok WHEN '[' THEN 1 WHEN ']' THEN -1 ELSE 0 END) OVER (PARTITION BY ID ORDER BY i) AS q FROM u),
 x AS (SELECT ID, min(p) AS pmin, arg_max(p, i) AS pend, min(q) AS qmin, arg_max(q, i) AS qend,
-  bool_or(NOT list_contains({sql_list([*TOKEN_IDS, '.', '0'])}, tok) AND NOT regexp_full_match(tok, '%[0-9][0-9]|[1-9]'))
+  bool_or(NOT list_contains({KNOWN_TOKENS}, tok) AND NOT regexp_full_match(tok, '%[0-9][0-9]|[1-9]'))
     AS strange FROM d GROUP BY ID),
 r AS (SELECT ID, lab, count(*) AS c FROM (SELECT ID, unnest(regexp_extract_all(
   regexp_replace(SMILES, '\\[[^\\]]*\\]', '*', 'g'), '(%[0-9][0-9]|[1-9])', 1)) AS lab FROM n) GROUP BY 1, 2),
@@ -176,7 +176,7 @@ SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, '|')) AS tokens_md5
 FROM (SELECT doc_id, {atoms_of('text')} AS t FROM documents)"""
 ORACLES["token_filter"] = f"""
 SELECT ID, (len(list_filter(list_distinct(t), lambda x: NOT list_contains({KNOWN_TOKENS}, x))) = 0)::INT AS pass
-FROM (SELECT doc_id AS ID, {atoms_of(NOTATION)} AS t FROM documents)"""
+FROM (SELECT doc_id AS ID, {atoms_of('text')} AS t FROM documents)"""
 ORACLES["label_remap"] = """
 SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 WHEN 'P' THEN 2 END::INT AS label
 FROM (SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT l_orderkey, l_linestatus FROM lineitem)"""
@@ -196,9 +196,10 @@ SELECT ID, SMILES, 1.1::DOUBLE AS plogP, lpad((row_number() OVER (ORDER BY ID) -
 
 # --- functions --------------------------------------------------------------
 
-PASSING = f"""n AS (SELECT doc_id AS ID, replace(replace({NOTATION}, '0', ''), '.', '') AS SMILES FROM documents),
+PASSING = f"""n AS (SELECT doc_id AS ID, text AS SMILES FROM documents),
 t AS (SELECT ID, SMILES, {atoms_of('SMILES')} AS tokens FROM n),
-m AS (SELECT ID, SMILES, tokens, list_transform(tokens, lambda x: {VOCAB_MAP}[x]) AS ids FROM t)"""
+m AS (SELECT ID, SMILES, tokens, list_transform(tokens, lambda x: {VOCAB_MAP}[x]) AS ids FROM t
+  WHERE len(list_filter(list_distinct(tokens), lambda x: NOT list_contains({KNOWN_TOKENS}, x))) = 0)"""
 ORACLES["encode_pad"] = f"""WITH {PASSING}
 SELECT ID, array_to_string(list_resize(list_concat([1], ids)[1:99], 100, 2), ',') AS ids,
   least(len(tokens) + 1, 99) AS length FROM m"""
@@ -237,7 +238,7 @@ SELECT doc_id, n_chars, 'doc_' || lpad((row_number() OVER (ORDER BY n_chars DESC
 _CARBON = sql_list(["C", "c"])
 _HETERO = sql_list(["N", "n", "O", "o", "S", "s", "P", "p", "F", "I", "B", "K", *TWO_LETTER_ATOMS])
 ORACLES["token_descriptors"] = rf"""
-WITH n AS (SELECT doc_id AS ID, {NOTATION} AS SMILES FROM documents),
+WITH n AS (SELECT doc_id AS ID, text AS SMILES FROM documents),
 t AS (SELECT ID, SMILES, {atoms_of('SMILES')} AS tokens FROM n),
 u AS (SELECT ID, unnest(tokens) AS tok, generate_subscripts(tokens, 1) AS i FROM t),
 d AS (SELECT ID, sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY ID ORDER BY i) AS p FROM u),

@@ -1,8 +1,8 @@
 """The registered queries: every operator on the given tables.
 
 No table holds molecules, so documents stand in: word 3-grams are the
-fingerprint, and ``notation`` (the text without characters outside the line
-notation) exercises the token operators. The known set is the documents that
+fingerprint, and the token operators take the whole texts with a vocabulary of
+printable ASCII, so that rows pass and fail for every reason. The known set is the documents that
 have labels; all others are candidates.
 """
 
@@ -62,7 +62,9 @@ def rounded(df: DataFrame, *columns: str, decimals: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, decimals) for c in columns})
 
 
-NOTATION_DROPS = r"[^BCFHINOPScnops0-9()\[\]=#+.\-]"
+#: The vocabulary of the token operators: printable ASCII and the two-letter atoms.
+PLAIN = [*map(chr, range(32, 127)), *TK.TWO_LETTER_ATOMS]
+PLAIN_IDS = {token: i + 3 for i, token in enumerate(PLAIN)}
 
 
 def documents(spark, sf) -> DataFrame:
@@ -70,9 +72,8 @@ def documents(spark, sf) -> DataFrame:
 
 
 def notation(spark, sf) -> DataFrame:
-    """``ID``, ``SMILES``: documents reduced to the characters of line notation."""
-    return documents(spark, sf).select(
-        F.col("doc_id").alias("ID"), F.regexp_replace("text", NOTATION_DROPS, "").alias("SMILES"))
+    """``ID``, ``SMILES``: the documents as they are."""
+    return documents(spark, sf).select(F.col("doc_id").alias("ID"), F.col("text").alias("SMILES"))
 
 
 def word_sets(df: DataFrame, id_col: str, q: int = 3, text: str = "text", out: str = "grams",
@@ -241,7 +242,7 @@ def drop_invalid(spark, sf):
 
 @query
 def validity(spark, sf):
-    checked = cleaning.add_validity(cleaning.add_tokens(notation(spark, sf), "SMILES"), "SMILES")
+    checked = cleaning.add_validity(cleaning.add_tokens(notation(spark, sf), "SMILES"), "SMILES", known=PLAIN)
     return checked.select("ID", "valid", "invalid_reason")
 
 
@@ -259,7 +260,7 @@ def tokenize(spark, sf):
 
 @query
 def token_filter(spark, sf):
-    checked = cleaning.add_token_pass(notation(spark, sf), "SMILES")
+    checked = cleaning.add_token_pass(notation(spark, sf), "SMILES", PLAIN)
     return checked.select("ID", F.col("pass").cast("int").alias("pass"))
 
 
@@ -282,28 +283,29 @@ def penalized_score(spark, sf):
 
 @query
 def curate(spark, sf):
-    return curation.curate(notation(spark, sf).withColumn("plogP", F.lit(1.1)), dedup_again=True, index_col="row_id")
+    return curation.curate(notation(spark, sf).withColumn("plogP", F.lit(1.1)), known=PLAIN, dedup_again=True,
+                           index_col="row_id")
 
 
 # --- functions --------------------------------------------------------------
 
 def _passing(spark, sf) -> DataFrame:
-    """Notation cut to known tokens, with its tokens."""
-    known = notation(spark, sf).withColumn("SMILES", F.translate("SMILES", "0.", ""))
-    return known.select("ID", "SMILES", TK.atom_tokens(F.col("SMILES")).alias("tokens"))
+    """The rows that pass the token filter, with their tokens."""
+    passed, _, _ = cleaning.token_filter(notation(spark, sf), "SMILES", property_col=None, known=PLAIN)
+    return passed.select("ID", "SMILES", TK.atom_tokens(F.col("SMILES")).alias("tokens"))
 
 
 @query
 def encode_pad(spark, sf):
     encoded = _passing(spark, sf).select(
-        "ID", TK.encode(F.col("tokens"), 100).alias("e"), TK.encoded_length(F.col("tokens"), 100).alias("length"))
+        "ID", TK.encode(F.col("tokens"), 100, PLAIN_IDS).alias("e"), TK.encoded_length(F.col("tokens"), 100).alias("length"))
     return encoded.select("ID", F.array_join("e", ",").alias("ids"), F.col("length").cast("long").alias("length"))
 
 
 @query
 def decode_roundtrip(spark, sf):
-    back = _passing(spark, sf).select("ID", "SMILES", TK.encode(F.col("tokens"), 200).alias("e")).select(
-        "ID", "SMILES", TK.decode(F.col("e")).alias("decoded"))
+    back = _passing(spark, sf).select("ID", "SMILES", TK.encode(F.col("tokens"), 200, PLAIN_IDS).alias("e")).select(
+        "ID", "SMILES", TK.decode(F.col("e"), PLAIN_IDS).alias("decoded"))
     return back.select("ID", "decoded", (F.col("decoded") == F.col("SMILES")).alias("whole"))
 
 
@@ -311,9 +313,10 @@ def decode_roundtrip(spark, sf):
 def encode_unk(spark, sf):
     tokens = documents(spark, sf).select(
         "doc_id", "lang", TK.atom_tokens(F.col("text"), TK.TWO_LETTER_ATOMS_EXTENDED).alias("tokens"))
-    vocab, _, ids = TK.vocab_columns(profiling.build_vocab(tokens.where("lang = 'en'"), "tokens"))
-    encoded = tokens.select("doc_id", TK.encode_with_vocab(
-        F.col("tokens"), vocab, F.lit(ids[TK.UNK]), F.lit(ids[TK.BOS]), F.lit(ids[TK.EOS])).alias("e"))
+    # the vocabulary of one language makes unknown tokens in the others
+    vocab = materialize(profiling.build_vocab(tokens.where("lang = 'en'"), "tokens"))
+    ids = {row.token: row.id for row in vocab.where(F.col("token").isin(*TK.SPECIALS)).collect()}
+    encoded = TK.encode_by_join(tokens, "doc_id", "tokens", vocab, ids).select("doc_id", F.col("ids").alias("e"))
     return encoded.select(
         "doc_id", F.size("e").cast("long").alias("n_ids"), F.md5(F.array_join("e", ",")).alias("ids_md5"),
         F.size(F.filter("e", lambda i: i == ids[TK.UNK])).cast("long").alias("n_unk"))
@@ -458,7 +461,7 @@ def knn_join(spark, sf):
 @query
 def knn_tiled(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return knn.knn_join(vectors, vectors, "id", "vec", 5, exclude_self=True, broadcast_points=0, tile_rows=128).withColumn(
+    return knn.knn_join(vectors, vectors, "id", "vec", 5, exclude_self=True, tile_rows=128).withColumn(
         "rank", F.col("rank").cast("long"))
 
 
@@ -821,9 +824,8 @@ def _stream(spark, sf, name: str) -> DataFrame:
 
 @query
 def stream_curate(spark, sf):
-    docs = _stream(spark, sf, "documents").select(
-        F.col("doc_id").alias("ID"), F.regexp_replace("text", NOTATION_DROPS, "").alias("SMILES"))
-    return streams.write_available(streams.curate_stream(docs), scratch(spark, "out"), scratch(spark, "state"))
+    docs = _stream(spark, sf, "documents").select(F.col("doc_id").alias("ID"), F.col("text").alias("SMILES"))
+    return streams.write_available(streams.curate_stream(docs, known=PLAIN), scratch(spark, "out"), scratch(spark, "state"))
 
 
 @query
@@ -863,12 +865,5 @@ def udf_score(spark, sf):
 
 @query
 def train_per_group(spark, sf):
-    def line(frame):
-        import numpy as np
-        import pandas as pd
-
-        slope = np.polyfit(frame["p_size"], frame["p_retailprice"], 1)[0] if len(frame) > 1 else 0.0
-        return pd.DataFrame({"p_type": [frame["p_type"].iloc[0]], "n": [len(frame)], "slope": [round(float(slope), 6)]})
-
-    part = table(spark, sf, "part").select("p_type", "p_size", "p_retailprice")
-    return apply.train_per_group(part, "p_type", line, "p_type string, n long, slope double")
+    return table(spark, sf, "part").groupBy("p_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.regr_slope("p_retailprice", "p_size"), 6).alias("slope"))

@@ -3,14 +3,15 @@ materialising a table and choosing a broadcast by measured size."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of narrow (two or three numeric columns) data we are willing to broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a written table (compressed) that we are willing to broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def build_session(app: str = "lexisieve", master: str | None = None, **conf) -> SparkSession:
@@ -39,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="lexisieve-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -61,20 +62,20 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the rows.
+def broadcast_if_bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring the bytes.
 
-    Call it on a materialised, narrow table, whose count is read from the file
-    footers. A larger table is returned as it is, so the join shuffles (with
-    AQE skew handling) instead.
+    Call it on a materialised table, whose size is that of its files. A larger
+    table is returned as it is, so the join shuffles (with AQE skew handling)
+    instead.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return F.broadcast(df) if plan_bytes(df) <= max_bytes else df
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A derived table as the small side of a join: written once, counted, and
+def small_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A derived table as the small side of a join: written once, measured, and
     broadcast if it is within bounds, so that the large side is not shuffled."""
-    return broadcast_if_bounded(materialize(df), max_rows)
+    return broadcast_if_bounded(materialize(df), max_bytes)
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -106,11 +106,3 @@ def test_caller_functions(spark):
     assert apply.map_partitions(spark.range(5), double, "id long", by=3).agg(F.sum("id")).first()[0] == 30
     scored = apply.add_score(spark.createDataFrame([("a",), ("b",)], "s string"), lambda: lambda v: v.map({"a": 1.0}), "s")
     assert {r.s: r.score for r in scored.collect()} == {"a": 1.0, "b": -1.0}
-
-    def size(frame):
-        return frame.head(1).assign(n=len(frame))[["g", "n"]]
-
-    groups = spark.range(10).selectExpr("id % 2 AS g")
-    assert {r.g: r.n for r in apply.train_per_group(groups, "g", size, "g long, n long").collect()} == {0: 5, 1: 5}
-    with pytest.raises(ValueError):
-        apply.train_per_group(groups, "g", size, "g long, n long", max_rows=4)
