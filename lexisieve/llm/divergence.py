@@ -91,7 +91,7 @@ def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def _share(histogram: Column) -> Column:
     total = F.aggregate(histogram, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(histogram, lambda x: x / total)
+    return F.when(total > 0, F.transform(histogram, lambda x: x / total))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -100,7 +100,8 @@ def js_distance(p: Column, q: Column) -> Column:
         return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
 
     terms = F.zip_with(_share(p), _share(q), lambda x, y: (term(x, y) + term(y, x)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+    total = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total.isNotNull(), F.sqrt(F.greatest(total, F.lit(0.0))))
 
 
 def references(measured: DataFrame, least_words: int = 2_000) -> DataFrame:
