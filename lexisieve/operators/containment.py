@@ -73,8 +73,10 @@ def fragment_score(df: DataFrame, fragments: DataFrame, id_col: str, set_col: st
     return df.join(sums, id_col, "left").withColumn(out, score_or_default(ok, nonzero, default)).drop("__sum")
 
 
-def one_fragment_score(df: DataFrame, fragment: list[int], set_col: str, out: str = "score") -> DataFrame:
-    """1 when the row contains the one given set, else -1."""
-    wanted = F.array(*[F.lit(b) for b in fragment])
-    inside = F.size(F.array_except(wanted, F.col(set_col))) == 0
-    return df.withColumn(out, F.when(F.coalesce(inside, F.lit(False)) & F.lit(bool(fragment)), 1).otherwise(-1))
+def one_fragment_score(df: DataFrame, fragment: DataFrame, set_col: str, out: str = "score") -> DataFrame:
+    """1 when the row contains the one given set, else -1. ``fragment`` is a table
+    of one row with a column ``set_col``."""
+    wanted = fragment.select(F.lit(1).alias("__one"), F.col(set_col).alias("__wanted"))
+    each = df.withColumn("__one", F.lit(1)).join(F.broadcast(wanted), "__one")  # one row
+    inside = (F.size("__wanted") > 0) & (F.size(F.array_except("__wanted", F.col(set_col))) == 0)
+    return each.withColumn(out, F.when(F.coalesce(inside, F.lit(False)), 1).otherwise(-1)).drop("__one", "__wanted")

@@ -177,6 +177,10 @@ FROM (SELECT doc_id, {atoms_of('text')} AS t FROM documents)"""
 ORACLES["token_filter"] = f"""
 SELECT ID, (len(list_filter(list_distinct(t), lambda x: NOT list_contains({KNOWN_TOKENS}, x))) = 0)::INT AS pass
 FROM (SELECT doc_id AS ID, {atoms_of('text')} AS t FROM documents)"""
+ORACLES["token_filter_failed"] = f"""
+SELECT doc_id AS ID, md5(text) AS text_md5 FROM documents
+WHERE len(list_filter(list_distinct({atoms_of('text')}), lambda x: NOT list_contains({KNOWN_TOKENS}, x))) > 0"""
+ORACLES["token_filter_count"] = f"SELECT count(*) AS n_fail FROM ({ORACLES['token_filter_failed']})"
 ORACLES["label_remap"] = """
 SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 WHEN 'P' THEN 2 END::INT AS label
 FROM (SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT l_orderkey, l_linestatus FROM lineitem)"""
@@ -267,6 +271,8 @@ ORACLES["containment_filter"] = f"""WITH {contained(grams(), grams())}
 SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)"""
 ORACLES["containment_generic"] = f"""WITH {contained(COARSE, COARSE)}
 SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)"""
+ORACLES["one_fragment_score"] = f"""WITH {contained(grams(), grams())}
+SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM hit WHERE item_id = 0) THEN 1 ELSE -1 END::INT AS score FROM documents"""
 ORACLES["fragment_score"] = f"""WITH {contained(grams(), grams())},
 sums AS (SELECT doc_id, sum(item_id % 5) AS x FROM hit GROUP BY 1)
 SELECT doc_id, coalesce(nullif(x, 0), -1)::DOUBLE AS score FROM documents LEFT JOIN sums USING (doc_id)"""
@@ -509,6 +515,11 @@ ORACLES["stream_metric_windows"] = """
 SELECT strftime(day, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(day + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
   event_type AS metric, round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT *, date_trunc('day', ts) AS day FROM events)
 GROUP BY day, event_type HAVING day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
+ORACLES["stream_sliding_windows"] = """
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+  event_type AS metric, round(avg(value), 6) AS mean, count(*) AS n
+FROM (SELECT event_type, value, time_bucket(INTERVAL 12 HOUR, ts) - k * INTERVAL 12 HOUR AS s FROM events, range(2) AS r(k))
+GROUP BY s, event_type HAVING s + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
 ORACLES["map_partitions"] = """
 SELECT p_partkey, p_size, p_retailprice, round_even(p_retailprice * 2.0 / p_size, 6)::DOUBLE AS ratio FROM part"""
 ORACLES["udf_score"] = """

@@ -264,6 +264,18 @@ def token_filter(spark, sf):
     return checked.select("ID", F.col("pass").cast("int").alias("pass"))
 
 
+@query
+def token_filter_failed(spark, sf):
+    _, failed, _ = cleaning.token_filter(notation(spark, sf), "SMILES", property_col=None, known=PLAIN)
+    return failed.select("ID", F.md5("SMILES").alias("text_md5"))
+
+
+@query
+def token_filter_count(spark, sf):
+    _, _, count = cleaning.token_filter(notation(spark, sf), "SMILES", property_col=None, known=PLAIN)
+    return count
+
+
 @query
 def label_remap(spark, sf):
     mapping = {"F": 1, "O": 0, "P": 2}
@@ -436,10 +448,17 @@ def fragment_score(spark, sf):
         "doc_id", F.col("score").cast("double").alias("score"))
 
 
+@query
+def one_fragment_score(spark, sf):
+    docs = word_sets(documents(spark, sf), "doc_id")
+    fragment = _bench_sets(spark, sf).where("item_id = 0").select("grams")
+    return containment.one_fragment_score(docs, fragment, "grams").select("doc_id", "score")
+
+
 @query
 def similar_to_query(spark, sf):
     words = word_sets(documents(spark, sf), "doc_id", 1)
-    wanted = words.where("doc_id = 0").first()["grams"]
+    wanted = words.where("doc_id = 0").select("grams")
     return rounded(similarity.similar_to_query(words, wanted, "doc_id", "grams", k=25), "tanimoto")
 
 
@@ -842,6 +861,14 @@ def stream_metric_windows(spark, sf):
     return rounded(out.withColumns(as_text), "mean")
 
 
+@query
+def stream_sliding_windows(spark, sf):
+    windows = streams.metric_windows(_stream(spark, sf, "events"), "ts", "event_type", "value", "1 day", slide="12 hours", delay="2 hours")
+    out = streams.write_available(windows, scratch(spark, "out"), scratch(spark, "state"))
+    as_text = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")}
+    return rounded(out.withColumns(as_text), "mean")
+
+
 # --- caller's functions -----------------------------------------------------
 
 def _add_ratio(frame, factor):

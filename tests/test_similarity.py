@@ -113,7 +113,7 @@ def test_exact_removals_are_near_removals_and_empty_known_drops_nothing(spark):
 
 def test_query_search(spark):
     df = sets(spark, [{1, 2, 3}, {1}, {9}, set()])
-    rows = similarity.similar_to_query(df, [1, 2, 3], "id", "bits", k=2).collect()
+    rows = similarity.similar_to_query(df, spark.createDataFrame([([1, 2, 3],)], "bits array<int>"), "id", "bits", k=2).collect()
     assert [(r.id, round(r.tanimoto, 6)) for r in rows] == [(0, 1.0), (1, 0.333333)]
 
 
@@ -145,7 +145,7 @@ def test_containment_with_hot_elements_and_no_references(spark):
     refs = sets(spark, [{1, 2}, {1, 2, 15}])
     assert containment.remove_containing(df, refs, "id", "bits").count() == 0
     assert containment.remove_containing(df, refs.limit(0), "id", "bits").count() == 300
-    one = containment.one_fragment_score(df, [15, 1], "bits")
+    one = containment.one_fragment_score(df, spark.createDataFrame([([15, 1],)], "bits array<int>"), "bits")
     assert one.where("score = 1").count() == 1 and one.where("score = -1").count() == 299
     invalid = containment.fragment_score(df.limit(3), refs.withColumn("p", F.lit(2.0)), "id", "bits", "p", valid=F.col("id") > 0)
     assert {r.id: r.score for r in invalid.collect()} == {0: -1.0, 1: 2.0, 2: 2.0}
