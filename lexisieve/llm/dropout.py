@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ VARIANTS = 4
 _PARTS = re.compile(r" *[^ \n]+| +|\n+")
 _SPACE = "▁"
 #: Parts kept by a worker, over all variants; then the memory is cleared.
-PARTS_KEPT = 800_000
+PARTS_KEPT = 400_000
 _MASK = (1 << 32) - 1
 
 
@@ -44,6 +45,7 @@ class MergeDropout:
         normal = [i for i in range(len(pieces)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
         self.ids = {pieces[i]: i for i in normal}
         self.rank = {pieces[i]: (-model.get_score(i), i) for i in normal}
+        self.order = {piece: score for piece, (score, _) in self.rank.items()}
         self.text = {i: pieces[i].replace(_SPACE, " ").encode() for i in normal} | {
             i: bytes([b]) for i, b in self.bytes.items()}
         if any("\n" in p or _SPACE in p.lstrip(_SPACE) for p in self.ids):
@@ -51,8 +53,45 @@ class MergeDropout:
         self.seed, self.below = seed, int(rate * (1 << 32))
         self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
 
+    def _skips(self, base: int, left: int, piece: int) -> bool:
+        h = ((base ^ left * 0xC2B2AE35 ^ piece * 0x27D4EB2F) & _MASK) * 0x2C1B3C6D & _MASK
+        return ((h ^ h >> 15) * 0x297A2D39 & _MASK) ^ h >> 12 < self.below
+
     def part(self, part: str, variant: int) -> bytes:
         """Ids of one part (little-endian 16-bit)."""
+        if len(part) > 48 or _SPACE in part:
+            return self.long_part(part, variant)
+        base = zlib.crc32(part.encode(), (self.seed * 0x9E3779B1 + variant * 0x85EBCA6B) & _MASK)
+        symbols = list(part.replace(" ", _SPACE))
+        place = list(range(len(symbols)))
+        order, never = self.order.get, float("inf")
+        agenda = [order(a + b, never) for a, b in zip(symbols, symbols[1:])]  # by place; short, so the least is looked up
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            i = agenda.index(best)
+            merged = symbols[i] + symbols[i + 1]
+            if self.below and self._skips(base, place[i], self.ids[merged]):
+                agenda[i] = never
+                continue
+            symbols[i] = merged
+            del symbols[i + 1], place[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = order(symbols[i - 1] + merged, never)
+            if i < len(agenda):
+                agenda[i] = order(merged + symbols[i + 1], never)
+        out = []
+        for symbol in symbols:
+            piece = self.ids.get(symbol)
+            if piece is None:
+                out += [self.of_byte[b] for b in symbol.encode()]
+            else:
+                out.append(piece)
+        return struct.pack(f"<{len(out)}H", *out)
+
+    def long_part(self, part: str, variant: int) -> bytes:
+        """As :meth:`part`, with a heap as agenda, for parts of any length and with space marks of their own."""
         symbols: list[str | None] = [_SPACE if c == " " else (None if c == _SPACE else c) for c in part]
         literal = {k for k, s in enumerate(symbols) if s is None}
         symbols = [s or _SPACE for s in symbols]
@@ -74,11 +113,8 @@ class MergeDropout:
             _, left, right, size, piece = heapq.heappop(agenda)
             if not symbols[left] or not symbols[right] or after[left] != right or len(symbols[left]) + len(symbols[right]) != size:
                 continue  # one of them has been merged since
-            if self.below:
-                h = ((base ^ left * 0xC2B2AE35 ^ piece * 0x27D4EB2F) & _MASK) * 0x2C1B3C6D & _MASK
-                h = ((h ^ h >> 15) * 0x297A2D39 & _MASK) ^ h >> 12
-                if h < self.below:
-                    continue
+            if self.below and self._skips(base, left, piece):
+                continue
             symbols[left] += symbols[right]
             symbols[right] = ""
             after[left] = after[right]
@@ -94,7 +130,7 @@ class MergeDropout:
                 out.append(self.ids[symbol])
             else:
                 out += [self.of_byte[b] for b in symbol.encode()]
-        return np.array(out, "<u2").tobytes()
+        return struct.pack(f"<{len(out)}H", *out)
 
     def encode(self, text: str | None, key: int) -> bytes:
         """Ids of a text; ``key`` (such as the document id) is part of the keyed hash. Empty for null and empty texts."""
@@ -133,18 +169,22 @@ def model(vocabulary: str, seed: int, rate: float) -> MergeDropout:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, rate: float = 0.1,
-           vocabulary: str = PIECE_BPE) -> DataFrame:
-    """Per row: id and ``ids`` (array of ints). A null or empty text has no ids; repeated rows get equal ids;
+           vocabulary: str = PIECE_BPE, decoded: str | None = None) -> DataFrame:
+    """Per row: id and ``ids`` (array of ints); ``decoded`` names a column for the
+    text that the ids decode to, made in the same pass. A null or empty text has no ids; repeated rows get equal ids;
     a null id counts as 0 in the hash; other columns are ignored; an empty table gives no rows."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = model(vocabulary, seed, rate)
         for frame in frames:
-            keys = frame["id"].fillna(0).astype("int64").tolist()
-            yield pd.DataFrame({id_col: frame["id"], "ids": [
-                np.frombuffer(encoder.encode(t, k), "<u2").astype(np.int32) for t, k in zip(frame["text"], keys)]})
+            for at in range(0, len(frame), 500):
+                part = frame.iloc[at:at + 500]
+                keys = part["id"].fillna(0).astype("int64").tolist()
+                ids = [np.frombuffer(encoder.encode(t, k), "<u2").astype(np.int32) for t, k in zip(part["text"], keys)]
+                out = pd.DataFrame({id_col: part["id"].to_numpy(), "ids": ids})
+                yield out.assign(**{decoded: list(map(encoder.decode, ids))}) if decoded else out
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInPandas(run, f"{id_col} long, ids array<int>")
+    return given.mapInPandas(run, f"{id_col} long, ids array<int>" + (f", {decoded} string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, out: str = "text", vocabulary: str = PIECE_BPE) -> DataFrame:

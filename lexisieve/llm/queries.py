@@ -83,7 +83,7 @@ def op10_prefix_tree(spark, sf_dir):
 
 @query
 def op9_dropout(spark, sf_dir):
-    decoded = dropout.decode(dropout.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    decoded = dropout.encode(table(spark, sf_dir, "documents"), decoded="text")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           F.xxhash64("ids").alias("ids_hash"), F.md5("text").alias("decoded_md5"),
                           F.char_length("text").cast("long").alias("n_chars"))

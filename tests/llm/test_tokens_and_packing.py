@@ -137,3 +137,10 @@ def test_no_dropout_is_the_library(spark):
     model = dropout.MergeDropout(dropout.PIECE_BPE, 5, 0.0)
     for text in TEXTS[1:]:
         assert np.frombuffer(model.encode(text, 3), "<u2").tolist() == library.encode(text)
+
+
+def test_both_agendas_agree():
+    model = dropout.MergeDropout(dropout.PIECE_BPE, 3, 0.2)
+    for part in [" interesting", "  words", "ééé漢", "\n\n", " ", "a", " aaaaaaaaaaaaaaaaaaaaaaaaa", "    return"]:
+        for variant in range(dropout.VARIANTS):
+            assert model.part(part, variant) == model.long_part(part, variant)
