@@ -86,3 +86,11 @@ def test_random_rules_agree_with_pandas(spark, seed):
     for text in [rule(3) for _ in range(5)]:
         want = sorted(map(tuple, frame.query(text).to_numpy().tolist()))
         assert sorted((r.a, r.b) for r in df.where(F.expr(rules.rule_to_sql(text))).collect()) == want
+
+
+def test_rules_are_the_ones_written_down():
+    import re
+    from pathlib import Path
+
+    text = (Path(__file__).parent.parent / "FIXTURES.md").read_text()
+    assert dict(re.findall(r"^\| (\w+): `([^`]+)` \|", text, re.MULTILINE)) == rules.RULES
