@@ -12,8 +12,8 @@ class, with the smallest id as its representative; only representatives go on:
 Buckets are never expanded into all their pairs. Each member is first compared
 with the bucket's leader, the smallest representative; confirmed links are
 contracted to components. Buckets that still hold several components are then
-searched by blocks: sketches of two blocks are compared as a matrix inside a
-task, and only pairs of different components leave it.
+searched by blocks: two blocks are compared as a matrix inside a task, which
+gives no more links than join its components.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisieve.llm.common import WORD
+from lexisieve.llm.common import WORD, arrow_rows
 from lexisieve.llm.components import connected
 from lexisieve.session import default_partitions, materialize
 
 ROWS, BANDS = 6, 36
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 512
+#: Rounds in which members are compared with leaders before what is left is searched by blocks.
+LEADER_ROUNDS = 3
 #: Classes per block of the search inside a bucket.
 BLOCK = 512
 
@@ -174,41 +176,74 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return held.mapInPandas(check, "l long, r long")
 
 
-def _cross_pairs(buckets: DataFrame, marks: DataFrame, limit: int) -> DataFrame:
-    """Pairs of different components in one bucket whose sketches agree enough.
+def _shingle_sets(texts: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``id`` and the shingle set, as little-endian 64-bit numbers, of the given members."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "shingles": [shingle_set(t, width).tobytes() for t in frame["text"]]})
+
+    used = texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    return used.mapInPandas(run, "id long, shingles binary")
+
+
+def _cross_links(buckets: DataFrame, marks: DataFrame, sets: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Links between different components of one bucket, enough of them to join what belongs together.
 
     ``buckets`` has the buckets (key, id, component) that hold several components.
-    Members are numbered into blocks by hash; each pair of blocks is one row of
-    work, compared as a matrix.
+    Members are numbered into blocks by hash; each pair of blocks is one group,
+    compared as a matrix of sketches. What the sketches leave is confirmed on
+    the full sets there and then, most similar pairs first; pairs that are
+    already joined are passed over, so a group gives fewer links than it has
+    rows. A pair is looked at in the first bucket that it shares.
     """
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = (buckets.join(sizes, "key").withColumn("blocks", blocks)
+    placed = (buckets.join(sizes, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
               .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-              .join(marks.select("id", "sketch"), "id"))
+              .join(marks.select("id", "sketch", "keys"), "id").join(sets, "id"))
     # a block takes part in the pairs (i, j), i <= j, that hold it
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sketch")
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component",
+        "sketch", "keys", "shingles")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        left = group[group["block"] == first["i"]]
-        right = left if first["i"] == first["j"] else group[group["block"] == first["j"]]
-        bits = lambda rows: np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-        a, b = bits(left), bits(right)
-        of_left, of_right = left["component"].to_numpy(), right["component"].to_numpy()
-        left_id, right_id = left["id"].to_numpy(), right["id"].to_numpy()
+        key, i, j = (group[c].iloc[0] for c in ("key", "i", "j"))
+        ids, component = group["id"].to_numpy(), group["component"].to_numpy()
+        bits = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group), -1)
+        keys = np.stack(group["keys"].to_list())
+        n = np.array([len(x) // 8 for x in group["shingles"]])
+        block = group["block"].to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = []
-        for k in range(len(a)):
-            near = np.bitwise_count(a[k] ^ b).sum(axis=1) <= limit
-            near &= of_right != of_left[k]
-            if right is left:
-                near[:k + 1] = False
-            found.append(np.stack((np.full(near.sum(), left_id[k]), right_id[near])))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pd.DataFrame({"l": pairs.max(axis=0), "r": pairs.min(axis=0)})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "l long, r long").distinct()
+        for k in left:
+            apart = np.bitwise_count(bits[k] ^ bits[right]).sum(axis=1)
+            near = (apart <= limit) & (component[right] != component[k])
+            near &= 100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k])
+            if i == j:
+                near &= right > k
+            other = right[near]
+            shared = keys[other] == keys[k]
+            first = shared[np.arange(len(other)), shared.argmax(axis=1)] & (keys[k][shared.argmax(axis=1)] == key)
+            found += zip(apart[near][first].tolist(), [k] * int(first.sum()), other[first].tolist())
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        links = []
+        for _, k, m in sorted(found):
+            a, b = find(int(component[k])), find(int(component[m]))
+            if a == b:
+                continue
+            x, y = (np.frombuffer(group["shingles"].iat[p], "<u8") for p in (k, m))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                root[a] = b
+                links.append((max(ids[k], ids[m]), min(ids[k], ids[m])))
+        return pd.DataFrame(links, columns=["l", "r"], dtype="int64")
+
+    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "l long, r long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -220,6 +255,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links; rows that repeat an id count as one document each and carry the same
     component; other columns are ignored; an empty table gives no rows.
     """
+    with arrow_rows(docs.sparkSession, 1_000):
+        signed, classes, component = _grouped(docs, id_col, text_col, width, percent)
+    whole = classes.join(component, "id", "left").select(
+        "high", "low", "n", F.coalesce("component", "id").alias("component"))
+    return signed.select("id", "n", "high", "low").join(whole, ["high", "low", "n"], "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
+        (F.col("id") == F.coalesce("component", "id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, their classes, and the components of class representatives with links."""
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(_signatures(given, width))
     classes = signed.where("n > 0").groupBy("high", "low", "n").agg(F.min("id").alias("id"))
@@ -235,27 +281,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         near = near.where((100 * F.least("l_n", "r_n") >= percent * F.greatest("l_n", "r_n")) & (_differing() <= limit))
         return materialize(_confirm(materialize(near.select("l", "r")), given, width, percent))
 
-    # a member's commonest leader first; other leaders only where the first left two components
+    # a member's commonest leader first; others only where components are still apart, one for each member in a round
     led = materialize(buckets.where("id <> leader").groupBy(F.col("id").alias("l"), F.col("leader").alias("r")).agg(
         F.count(F.lit(1)).alias("shared")))
-    best = led.groupBy("l").agg(F.max_by("r", F.struct("shared", -F.col("r"))).alias("r"))
-    links = linked(best)
-    component = connected(links)
-    rest = _apart(led.join(best, ["l", "r"], "left_anti"), component)
-    links = links.unionByName(linked(rest.select("l", "r")))
-    component = connected(links)
+    links = None
+    for _ in range(LEADER_ROUNDS):
+        best = led.groupBy("l").agg(F.max_by("r", F.struct("shared", -F.col("r"))).alias("r"))
+        found = linked(best)
+        links = found if links is None else links.unionByName(found)
+        component = connected(links)
+        led = materialize(_apart(led.join(best, ["l", "r"], "left_anti"), component).select("l", "r", "shared"))
+        if not led.count():
+            break
     named = buckets.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
     apart = materialize(named.join(mixed.select("key"), "key", "left_semi"))
-    tested = led.select("l", "r")
-    more = _cross_pairs(apart, marks, limit).join(tested, ["l", "r"], "left_anti")
-    component = connected(links.unionByName(linked(more)))
-
-    whole = classes.join(component, "id", "left").select(
-        "high", "low", "n", F.coalesce("component", "id").alias("component"))
-    return signed.select("id", "n", "high", "low").join(whole, ["high", "low", "n"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"),
-        (F.col("id") == F.coalesce("component", "id")).alias("kept"))
+    sets = materialize(_shingle_sets(given, apart, width))
+    component = connected(links.unionByName(_cross_links(apart, marks, sets, limit, percent)))
+    return signed, classes, component
 
 
 def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
