@@ -37,15 +37,15 @@ FINGERPRINT_SIZES = (64, 128, 256, 512, 1024, 2048)
 
 
 def classifiers(seed: int = 0) -> dict[str, tuple[object, dict[str, list]]]:
-    """Estimators and the parameter values searched for each."""
+    """Estimators, with the library's own numbers of iterations, and the parameter values searched for each."""
     common = {"featuresCol": "features", "labelCol": "label"}
     return {
         "RF": (RandomForestClassifier(seed=seed, **common), {"numTrees": [20, 50], "maxDepth": [5, 10]}),
-        "GBT": (GBTClassifier(seed=seed, maxIter=10, **common), {"maxDepth": [3, 5]}),
-        "SVM": (LinearSVC(maxIter=30, tol=1e-4, **common), {"regParam": [0.01, 0.1, 1.0]}),
+        "GBT": (GBTClassifier(seed=seed, **common), {"maxDepth": [3, 5]}),
+        "SVM": (LinearSVC(tol=1e-4, **common), {"regParam": [0.01, 0.1, 1.0]}),
         "DT": (DecisionTreeClassifier(seed=seed, **common), {"maxDepth": [3, 5, 10]}),
         "NB": (NaiveBayes(modelType="gaussian", **common), {}),
-        "LR": (LogisticRegression(maxIter=50, tol=1e-4, **common), {"regParam": [0.001, 0.01, 0.1]}),
+        "LR": (LogisticRegression(tol=1e-4, **common), {"regParam": [0.001, 0.01, 0.1]}),
     }
 
 

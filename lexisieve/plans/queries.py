@@ -617,11 +617,19 @@ def kmeans_purity(spark, sf):
     return profiling.cell_purity(train, rows.select("vec_id", "cell"), "cell", "y")
 
 
+def _mixtures(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return models.gmm_columns(table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"],
+                              ["l_orderkey", "l_linenumber"], components=10)
+
+
 @query
 def gmm_columns(spark, sf):
-    rows, _ = models.gmm_columns(table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"],
-                                 ["l_orderkey", "l_linenumber"], components=10, max_iter=10)
-    return rows
+    return _mixtures(spark, sf)[0]
+
+
+@query
+def gmm_parameters(spark, sf):
+    return _mixtures(spark, sf)[1]
 
 
 @query
@@ -789,14 +797,13 @@ def _features(spark, sf, bits: int = 256) -> DataFrame:
 @query
 def train_select(spark, sf):
     data = FP.add_sparse_vector(_features(spark, sf), "bits", 256).select("id", "label", "features")
-    table_, _ = models.train_select(data, names=["RF", "LR", "NB", "DT"], draws=1)
+    table_, _ = models.train_select(data, folds=5, draws=None)
     return table_
 
 
 @query
 def model_grid(spark, sf):
-    return models.model_grid(_features(spark, sf, 2048), "bits", "id", "label", sizes=(64, 256),
-                             names=("LR", "DT", "NB", "KNN"), folds=3)
+    return models.model_grid(_features(spark, sf, 2048), "bits", "id", "label", draws=None)
 
 
 @query
@@ -819,7 +826,7 @@ def score_rank(spark, sf):
 def gbt_rmse(spark, sf):
     items = table(spark, sf, "lineitem")
     return models.boosted_regression(items, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice",
-                                     items.columns, depths=(3,), max_iter=5)
+                                     items.columns)
 
 
 @query
