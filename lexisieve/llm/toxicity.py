@@ -19,7 +19,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +35,9 @@ LEXICONS = 16
 #: Beginnings of words, by length, which count as terms of their own.
 PREFIXES = (4, 5, 6)
 _WORDS = re.compile(r"[^\W\d_]+")
+_SENTENCES = re.compile(r"[.!?\n]+")
+#: Words to each side of a hit that are looked at for shouting, inside its sentence.
+AROUND = 8
 #: Second person and a form of address. Fixed values.
 _ADDRESS = re.compile(r"\b(?:you|your|you're|ur|du|dein|ihr|tu|toi|vous|usted)\b", re.IGNORECASE)
 
@@ -58,25 +61,43 @@ class Model:
     intercept: float
 
 
-def hits(text: str, lexicon: dict[str, int]) -> Counter:
-    """Distinct words that hit, by lexicon. A word counts once, for its longest term."""
-    found = Counter()
+def hit_words(text: str, lexicon: dict[str, int]) -> dict[str, int]:
+    """The distinct lower-case words that hit, with their lexicon. A word counts once, for its longest term."""
+    found = {}
     for word in set(_WORDS.findall(text.lower())):
         for term in (word, *(word[:k] + "*" for k in reversed(PREFIXES) if len(word) > k)):
             if term in lexicon:
-                found[lexicon[term]] += 1
+                found[word] = lexicon[term]
                 break
     return found
 
 
+def shouted(text: str, bad: Collection[str]) -> bool:
+    """Whether anywhere in the text most letters around one of the lower-case words ``bad`` are capitals.
+
+    Around are the words of its sentence or line, ``AROUND`` to each side at
+    most, so neither the place of the passage nor the length of the text matters.
+    """
+    for sentence in _SENTENCES.split(text):
+        if sentence.islower():
+            continue
+        words = _WORDS.findall(sentence)
+        for k, word in enumerate(words):
+            low = word.lower()
+            if low in bad or not word.isascii() and any(w in bad for w in _WORDS.findall(low)):
+                near = "".join(words[max(0, k - AROUND):k + AROUND + 1])
+                if 2 * sum(map(str.isupper, near)) > len(near):
+                    return True
+    return False
+
+
 def signals(text: str, lexicon: dict[str, int]) -> list[float]:
-    """Per lexicon log(1 + hits); then any hit, log of all hits, shouting, exclamation, address."""
-    found = hits(text, lexicon)
-    total = sum(found.values())
-    letters = sum(map(str.isalpha, text[:4000])) if total else 0
-    loud = sum(map(str.isupper, text[:4000])) / letters if letters else 0.0
+    """Per lexicon log(1 + hits); then any hit, log of all hits, shouting around a hit, exclamation, address.
+    All of them are taken from the whole text."""
+    bad = hit_words(text, lexicon)
+    found, total = Counter(bad.values()), len(bad)
     return [*(math.log1p(found[k]) for k in range(LEXICONS)), float(total > 0), math.log1p(total),
-            float(loud > 0.5), float("!!" in text), float(total > 0 and bool(_ADDRESS.search(text)))]
+            float(total > 0 and shouted(text, bad)), float("!!" in text), float(total > 0 and bool(_ADDRESS.search(text)))]
 
 
 def context(text: str) -> int:
