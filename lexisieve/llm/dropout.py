@@ -3,10 +3,13 @@
 A text is cut where no piece of the vocabulary reaches across: between a
 character and a following space, and around line feeds. In each part the
 agenda holds the adjacent pairs that form a piece; the best score, then the
-leftmost, is taken first, and skipped if a keyed hash of seed, variant, part,
-place and piece falls below the dropout rate. The variant of a part is a keyed
-hash of document and place, so the same word is cut differently at different
-places, and every run gives the same ids.
+leftmost, is taken first, and skipped if a keyed hash of seed, document, place
+of the part, place in the part and piece falls below the dropout rate. So every
+merge of every occurrence has a draw of its own, and every run gives the same ids.
+
+What follows from the draws is remembered, not the draws: a part's merges
+without dropout, and after one skip or two the merges that are left. The agenda
+runs where such a path is new.
 
 Every symbol that is no piece, and the space mark itself where it stands in a
 text, is written as bytes, so that decoding gives back the text exactly.
@@ -17,8 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,12 +30,32 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 PIECE_BPE = "piece_bpe_32k.model"
+#: Keys under which the tests cut a part.
 VARIANTS = 4
+#: Skips in a part up to which the merges that follow are remembered.
+SKIPS_KEPT = 2
+#: Parts of a text that are looked at together.
+TOGETHER = 20_000
 _PARTS = re.compile(r" *[^ \n]+| +|\n+")
 _SPACE = "▁"
-#: Parts kept by a worker (some 250 MB), over all variants; then the memory is cleared.
-PARTS_KEPT = 1_200_000
-_MASK = (1 << 32) - 1
+#: Paths kept by a worker, over all parts; then the memory is cleared.
+PATHS_KEPT = 500_000
+_MASK = (1 << 64) - 1
+_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _merge_key(left: int, piece: int) -> int:
+    return ((left + 1) * 0x9E3779B97F4A7C15 ^ (piece + 1) * 0xC2B2AE3D27D4EB4F) & _MASK
+
+
+class _Path:
+    """A part after some skips: its ids if no more is skipped, and the keys of the merges still to be drawn."""
+
+    __slots__ = ("ids", "later", "merges", "skipped", "start")
+
+    def __init__(self, ids: bytes, merges: bytes, start: int, skipped: tuple[int, ...]):
+        self.ids, self.merges, self.start, self.skipped = ids, merges, start, skipped
+        self.later: dict[int, _Path] | None = None
 
 
 class MergeDropout:
@@ -51,17 +73,62 @@ class MergeDropout:
         if any("\n" in p or _SPACE in p.lstrip(_SPACE) for p in self.ids):
             raise ValueError("pieces reach across the parts of a text")
         self.seed, self.below = seed, int(rate * (1 << 32))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.known: dict[str, _Path] = {}
+        self.kept = 0
+
+    def _skips(self, base: int, merge: int) -> bool:
+        h = (base ^ merge) * _MIX[0] & _MASK
+        return ((h ^ h >> 32) * _MIX[1] & _MASK) >> 32 < self.below
+
+    def _skips_each(self, base: np.ndarray, merges: np.ndarray) -> np.ndarray:
+        """As :meth:`_skips`, for arrays."""
+        h = (base ^ merges) * np.uint64(_MIX[0])
+        return ((h ^ (h >> np.uint64(32))) * np.uint64(_MIX[1])) >> np.uint64(32) < np.uint64(self.below)
+
+    def part(self, part: str, base: int) -> bytes:
+        """Ids of one part (little-endian 16-bit); ``base`` is the key of its occurrence."""
+        return self._short(part, lambda left, piece: self._skips(base, _merge_key(left, piece)))
 
-    def _skips(self, base: int, left: int, piece: int) -> bool:
-        h = ((base ^ left * 0xC2B2AE35 ^ piece * 0x27D4EB2F) & _MASK) * 0x2C1B3C6D & _MASK
-        return ((h ^ h >> 15) * 0x297A2D39 & _MASK) ^ h >> 12 < self.below
+    def long_part(self, part: str, base: int) -> bytes:
+        """As :meth:`part`, with a heap as agenda, for parts of any length and with space marks of their own."""
+        return self._long(part, lambda left, piece: self._skips(base, _merge_key(left, piece)))
+
+    def _path(self, part: str, skipped: tuple[int, ...]) -> _Path:
+        """The path on which the agenda's merges numbered ``skipped`` are left out."""
+        merges = []
+
+        def skips(left: int, piece: int) -> bool:
+            merges.append(_merge_key(left, piece))
+            return len(merges) - 1 in skipped
+
+        ids = self._short(part, skips)
+        start = skipped[-1] + 1 if skipped else 0
+        left = merges[start:] if self.below else []
+        return _Path(ids, struct.pack(f"<{len(left)}Q", *left), start, skipped)
+
+    def _root(self, part: str) -> _Path:
+        path = self.known.get(part)
+        if path is None:
+            path = self._path(part, ())
+            if len(part) <= 64:
+                self.known[part] = path
+                self.kept += 1
+        return path
 
-    def part(self, part: str, variant: int) -> bytes:
-        """Ids of one part (little-endian 16-bit)."""
+    def _after(self, part: str, path: _Path, at: int) -> _Path:
+        """The path that goes on from ``path`` when its merge ``at`` of those still to be drawn is skipped."""
+        found = path.later and path.later.get(at)
+        if not found:
+            found = self._path(part, (*path.skipped, path.start + at))
+            if len(path.skipped) < SKIPS_KEPT and len(part) <= 64:
+                path.later = path.later or {}
+                path.later[at] = found
+                self.kept += 1
+        return found
+
+    def _short(self, part: str, skips: Callable[[int, int], bool]) -> bytes:
         if len(part) > 48 or _SPACE in part:
-            return self.long_part(part, variant)
-        base = zlib.crc32(part.encode(), (self.seed * 0x9E3779B1 + variant * 0x85EBCA6B) & _MASK)
+            return self._long(part, skips)
         symbols = list(part.replace(" ", _SPACE))
         place = list(range(len(symbols)))
         order, never = self.order.get, float("inf")
@@ -72,7 +139,7 @@ class MergeDropout:
                 break
             i = agenda.index(best)
             merged = symbols[i] + symbols[i + 1]
-            if self.below and self._skips(base, place[i], self.ids[merged]):
+            if self.below and skips(place[i], self.ids[merged]):
                 agenda[i] = never
                 continue
             symbols[i] = merged
@@ -90,13 +157,11 @@ class MergeDropout:
                 out.append(piece)
         return struct.pack(f"<{len(out)}H", *out)
 
-    def long_part(self, part: str, variant: int) -> bytes:
-        """As :meth:`part`, with a heap as agenda, for parts of any length and with space marks of their own."""
+    def _long(self, part: str, skips: Callable[[int, int], bool]) -> bytes:
         symbols: list[str | None] = [_SPACE if c == " " else (None if c == _SPACE else c) for c in part]
         literal = {k for k, s in enumerate(symbols) if s is None}
         symbols = [s or _SPACE for s in symbols]
         n = len(symbols)
-        base = zlib.crc32(part.encode(), (self.seed * 0x9E3779B1 + variant * 0x85EBCA6B) & _MASK)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         rank, agenda = self.rank, []
 
@@ -113,7 +178,7 @@ class MergeDropout:
             _, left, right, size, piece = heapq.heappop(agenda)
             if not symbols[left] or not symbols[right] or after[left] != right or len(symbols[left]) + len(symbols[right]) != size:
                 continue  # one of them has been merged since
-            if self.below and self._skips(base, left, piece):
+            if self.below and skips(left, piece):
                 continue
             symbols[left] += symbols[right]
             symbols[right] = ""
@@ -137,21 +202,43 @@ class MergeDropout:
         if not text:
             return b""
         parts = _PARTS.findall(" " + text)
-        place = np.arange(len(parts), dtype=np.uint64) + np.uint64(key * 0x9E3779B97F4A7C15 + self.seed & (1 << 64) - 1)
-        place = (place ^ (place >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        variants = ((place ^ (place >> np.uint64(31))) % np.uint64(VARIANTS)).tolist() if self.below else [0] * len(parts)
-        known, out = self.known, []
-        for part, variant in zip(parts, variants):
-            ids = known[variant].get(part)
-            if ids is None:
-                ids = self.part(part, variant)
-                if len(part) <= 64:
-                    known[variant][part] = ids
-            out.append(ids)
-        if sum(map(len, known)) > PARTS_KEPT:
-            self.known = [{} for _ in range(VARIANTS)]
+        bases = self.bases(key, len(parts))
+        out = []
+        for at in range(0, len(parts), TOGETHER):
+            out += self._cut(parts[at:at + TOGETHER], bases[at:at + TOGETHER])
+            if self.kept > PATHS_KEPT:
+                self.known, self.kept = {}, 0
         return b"".join(out)
 
+    def bases(self, key: int, n: int) -> np.ndarray:
+        """The keys of the first ``n`` parts of a document."""
+        place = np.arange(n, dtype=np.uint64) + np.uint64(key * 0x9E3779B97F4A7C15 + self.seed * 0xD1B54A32D192ED03 & _MASK)
+        place = (place ^ (place >> np.uint64(30))) * np.uint64(_MIX[0])
+        return place ^ (place >> np.uint64(31))
+
+    def _cut(self, parts: list[str], bases: np.ndarray) -> list[bytes]:
+        """Ids of each part. All merges are drawn at once; parts with a skip go on from the first one, until none has any."""
+        if not self.below:
+            return [self._root(part).ids for part in parts]
+        # a part of great length is drawn as the agenda meets its merges
+        out = [b"" if len(part) <= 64 else self.part(part, base) for part, base in zip(parts, bases.tolist())] \
+            if max(map(len, parts)) > 64 else [b""] * len(parts)
+        at = [k for k, part in enumerate(parts) if len(part) <= 64]
+        paths = [self._root(parts[k]) for k in at]
+        while at:
+            for k, path in zip(at, paths):
+                out[k] = path.ids
+            count = np.array([len(path.merges) for path in paths]) >> 3
+            ends = count.cumsum()
+            merges = np.frombuffer(b"".join([path.merges for path in paths]), "<u8")
+            skipped = np.flatnonzero(self._skips_each(np.repeat(bases[at], count), merges))
+            owners, first = np.unique(np.searchsorted(ends, skipped, side="right"), return_index=True)
+            places = (skipped[first] - (ends - count)[owners]).tolist()
+            owners = owners.tolist()
+            paths = [self._after(parts[at[o]], paths[o], place) for o, place in zip(owners, places)]
+            at = [at[o] for o in owners]
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.text.__getitem__, np.asarray(ids).tolist()))
         return data.decode()[1:]  # without the space put in front
