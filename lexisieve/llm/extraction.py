@@ -1,11 +1,13 @@
 """Main text of HTML pages by text-to-tag ratio.
 
 The standard library's parser streams tags and text; each block of running
-text is a line, with the tags that were met around it. The lines' ratios of
-text to tags are smoothed with a Gaussian, and lines above a threshold cluster
-into content. The content region is the page's container that holds most of
-the clustered text, so that a short heading or paragraph between long ones is
-kept; parts marked as menus, notices, adverts and the like never are.
+text is a line, with the elements it stands in and the tags that were met around
+it. The lines' ratios of text to tags are smoothed with a Gaussian, and lines
+above a threshold cluster into content. The content container is the smallest
+element that holds the clustered text, or the outermost article and main
+elements; all of its lines are kept, so no heading or short paragraph is lost.
+Parts marked as menus, notices, adverts and the like are left out, unless the
+marked element is what the content stands in.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ _ENDS_P = frozenset(
 _SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
               "th": {"td", "th"}, "option": {"option"}}
 _REGION = frozenset(("article", "main"))
+#: Elements that hold blocks; others (paragraphs, headings, cells) are no containers.
+_CONTAINERS = frozenset("div section article main center td".split())
+#: Lines of these that stand next to the content of a page without a container belong to it.
+_RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _MARKED = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies "
     "consent gdpr notice alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer comment comments "
@@ -50,18 +56,30 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Line:
     text: str
     tags: int
-    region: int
+    element: int
+
+
+@dataclass
+class Element:
+    """``mark``: 0 for none, 1 for a dashed part of a class or id, 2 for a whole one. ``region``: the outermost
+    article or main element that it stands in or is, 0 for none."""
+
+    tag: str
+    parent: int
+    mark: int = 0
+    region: int = 0
 
 
 class _Lines(HTMLParser):
-    """Collects the lines of a page. ``region`` numbers the innermost article or main element, 0 outside."""
+    """Collects the lines of a page and its block elements; element 0 is the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, left out, region
+        self.elements = [Element("", -1)]
+        self.open: list[tuple[str, bool, int]] = []  # tag, left out, element
         self.parts: list[str] = []
-        self.tags = self.regions = 0
+        self.tags = 0
 
     def _state(self) -> tuple[bool, int]:
         return self.open[-1][1:] if self.open else (False, 0)
@@ -85,10 +103,16 @@ class _Lines(HTMLParser):
             return True
         if (attrs.get("role") or "").lower() in _ROLES or _HIDDEN.search((attrs.get("style") or "").lower()):
             return True
-        marks = {*_TOKENS.findall((attrs.get("class") or "").lower()), *_TOKENS.findall((attrs.get("id") or "").lower())}
-        if tag in ("html", "body", "main") or not marks:
-            return False
-        return bool(marks & _MARKED) or not region and bool(marks & _MARKED_OUTSIDE)
+        return False
+
+    def _mark(self, tag: str, attrs: dict, region: int) -> int:
+        if tag in ("html", "body", "main"):
+            return 0
+        named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
+        marks = _MARKED if region else _MARKED | _MARKED_OUTSIDE
+        if marks.isdisjoint(_TOKENS.findall(named)):
+            return 0
+        return 1 if marks.isdisjoint(named.split()) else 2
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -106,13 +130,19 @@ class _Lines(HTMLParser):
                 break
         if tag not in _INLINE:
             self.flush()
-        out, region = self._state()
+        out, element = self._state()
+        region, mark = self.elements[element].region, 0
         if attrs or tag in _NEVER or tag == "header":
             out = out or self._leave_out(tag, dict(attrs), region)
-        if tag in _REGION or tag not in _INLINE and ("role", "main") in attrs:
-            self.regions += 1
-            region = self.regions
-        self.open.append((tag, out, region))
+            mark = self._mark(tag, dict(attrs), region)
+        if tag in _INLINE:
+            out = out or mark > 0
+        else:
+            self.elements.append(Element(tag, element, mark, region))
+            element = len(self.elements) - 1
+            if not region and (tag in _REGION or ("role", "main") in attrs):
+                self.elements[element].region = element
+        self.open.append((tag, out, element))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -141,34 +171,106 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach:reach + len(ratios)] / weights
 
 
+def _content(lines: list[Line], sigma: float, strength: float) -> np.ndarray:
+    """Which lines have a smoothed ratio of at least ``strength`` of the mean smoothed ratio, weighted by text."""
+    size = np.array([len(line.text) for line in lines], np.float64)
+    smooth = smoothed(size / np.array([max(1, line.tags) for line in lines]), sigma)
+    return smooth >= strength * float((smooth * size).sum() / size.sum())
+
+
+def _unmarked(lines: list[Line], elements: list[Element], content: np.ndarray) -> list[Line]:
+    """The lines outside of marked elements. The mark of an element that the content stands in does not count:
+    one that holds more of the content, without its own marked parts, than the page outside of it; if a
+    whole class or id marks it and it holds no region, then only if there is no other content."""
+    marked = {k for k, e in enumerate(elements) if e.mark}
+    regional = {e.parent for k, e in enumerate(elements) if k and e.region == k}
+    for k in range(len(elements) - 1, 0, -1):
+        if k in regional:
+            regional.add(elements[k].parent)
+    while marked:
+        above: list[int] = [0] * len(elements)  # the innermost marked element that each element stands in or is
+        for k in range(1, len(elements)):
+            above[k] = k if k in marked else above[elements[k].parent]
+        held = Counter()
+        for line, good in zip(lines, content):
+            if good:
+                held[above[line.element]] += len(line.text)
+        void = [k for k, n in held.items() if k and n > held[0]
+                and (elements[k].mark == 1 or k in regional or not held[0])]
+        if not void:
+            break
+        best = max(void, key=lambda k: (held[k], -k))
+        while best > 0:  # what stands around it is no side part either
+            marked.discard(best)
+            best = elements[best].parent
+    else:
+        above = [0] * len(elements)
+    kept, tags = [], 0
+    for line in lines:
+        tags += line.tags
+        if not above[line.element]:
+            kept.append(Line(line.text, tags, line.element))
+            tags = 0
+    return kept
+
+
+def _container(content: np.ndarray, elements: list[Element], lines: list[Line]) -> int:
+    """The smallest element that holds all content and more than one line; 0 for the page."""
+    held, holds = [0] * len(elements), [0] * len(elements)
+    for line, good in zip(lines, content):
+        held[line.element] += int(good)
+        holds[line.element] += 1
+    for k in range(len(elements) - 1, 0, -1):  # a parent comes before its children
+        held[elements[k].parent] += held[k]
+        holds[elements[k].parent] += holds[k]
+    return max((k for k, e in enumerate(elements) if e.tag in _CONTAINERS and held[k] == held[0] and holds[k] > 1), default=0)
+
+
 def main_text(html: str | None, sigma: float = 1.0, strength: float = 0.5) -> str:
     """The content blocks of a page in order, joined by one space. Null, empty and textless pages give ''.
 
     A line is content if its smoothed ratio is at least ``strength`` of the
-    page's mean smoothed ratio, weighted by text. If most of that text stands in article or main
-    elements, all lines of those elements that hold some are the result;
-    else all lines of the page's content clusters.
+    page's mean smoothed ratio, weighted by text. If most of that text stands in
+    article or main elements, all lines of those are the result; else all lines of the
+    smallest element that holds it. Where that is the page itself, the lines
+    from the first content to the last, with the parts of the page that hold
+    these and headings and paragraphs next to them.
     """
     parser = _Lines()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines, elements = parser.lines, parser.elements
     if not lines:
         return ""
-    size = np.array([len(line.text) for line in lines], np.float64)
-    ratio = size / np.array([max(1, line.tags) for line in lines])
-    smooth = smoothed(ratio, sigma)
-    content = smooth >= strength * float((smooth * size).sum() / size.sum())
+    lines = _unmarked(lines, elements, _content(lines, sigma, strength))
+    if not lines:
+        return ""
+    content = _content(lines, sigma, strength)
     held = Counter()
-    for line, good, n in zip(lines, content, size):
+    for line, good in zip(lines, content):
         if good:
-            held[line.region] += n
-    inside = sum(n for region, n in held.items() if region)
-    if inside >= held[0]:
-        chosen = {region for region, n in held.items() if region and n >= 0.1 * inside}
-        return " ".join(line.text for line in lines if line.region in chosen)
-    return " ".join(line.text for line, good in zip(lines, content) if good)
+            held[elements[line.element].region > 0] += len(line.text)
+    if held[True] >= held[False]:
+        return " ".join(line.text for line in lines if elements[line.element].region)
+    found = np.flatnonzero(content).tolist()
+    whole = _container(content, elements, lines)
+    inside = [False] * len(elements)
+    tops = [0] * len(elements)
+    for k in range(1, len(elements)):
+        parent = elements[k].parent
+        inside[k] = k == whole or inside[parent]
+        tops[k] = tops[parent] or (0 if elements[k].tag in ("html", "body") else k)
+    if whole:
+        return " ".join(line.text for line in lines if inside[line.element])
+    parts = {tops[lines[k].element] for k in found} - {0}
+    own = [k for k, line in enumerate(lines) if content[k] or tops[line.element] in parts]
+    first, last = own[0], own[-1]
+    while first and elements[lines[first - 1].element].tag in _RUNNING:
+        first -= 1
+    while last + 1 < len(lines) and elements[lines[last + 1].element].tag in _RUNNING:
+        last += 1
+    return " ".join(line.text for line in lines[first:last + 1])
 
 
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
