@@ -2,12 +2,12 @@
 
 Every vector belongs to the cell of its nearest centre. Two vectors of cosine
 ``c`` are at most sqrt(2 - 2c) apart, so a vector has to be compared outside
-its cell only with cells whose bisecting plane is that near. In d dimensions a
-difference of that length has a component of sqrt(2 - 2c) / sqrt(d), one
-standard deviation, along the normal of a plane; planes within ``reach``
-deviations are searched. From ``reach`` = sqrt(d) on no link is lost to the
-cells (up to 9 dimensions by default); README has the recall measured at 64. Inside a cell, vectors are compared block by block as matrix
-products; a block pair emits link counts and one edge per vector, not pairs.
+its cell only with cells whose bisecting plane is that near. It also has to lie
+within the angle of the link of some member, which is at most the cell's widest
+angle from its centre, and at least its narrowest. Both bounds are exact: no
+link is lost to the cells, whatever the vectors. Inside a cell, vectors are
+compared block by block as matrix products; a block pair emits link counts and
+one edge per vector, not pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from lexisieve.llm.components import connected
 from lexisieve.session import materialize
 
 #: Vectors per block; a task of the comparison holds two.
-BLOCK = 256
+BLOCK = 1024
 #: Centres at most: with 64 doubles each, 2 MB in every task.
 MOST_CELLS = 4096
 
@@ -49,10 +49,39 @@ def centres(vectors: DataFrame, length: int, total: int, per_cell: int, sample_r
     return found[norms > 0] / norms[norms > 0, None]
 
 
-def _assign(vectors: DataFrame, points: np.ndarray, reach: float, kind: str) -> DataFrame:
+def _angles(vectors: DataFrame, points: np.ndarray) -> np.ndarray:
+    """Per cell the least and the greatest angle of a member from the centre; an empty cell has none (inf, -inf)."""
+    length, n = points.shape[1], len(points)
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least, most = np.full(n, np.inf), np.full(n, -np.inf)
+        for frame in frames:
+            values = [v for v in frame["v"] if len(v) == length]
+            if not values:
+                continue
+            x = np.array(values, np.float64)
+            near = x / np.linalg.norm(x, axis=1)[:, None] @ points.T
+            own = near.argmax(axis=1)
+            angle = np.arccos(np.clip(near[np.arange(len(x)), own], -1, 1))
+            np.minimum.at(least, own, angle)
+            np.maximum.at(most, own, angle)
+        found = np.flatnonzero(least < np.inf)
+        yield pd.DataFrame({"cell": found, "least": least[found], "most": most[found]})
+
+    rows = vectors.select("v").mapInPandas(measure, "cell long, least double, most double").groupBy("cell").agg(
+        F.min("least").alias("least"), F.max("most").alias("most")).collect()  # one row per cell
+    out = np.array([np.full(n, np.inf), np.full(n, -np.inf)])
+    for row in rows:
+        out[:, row.cell] = row.least, row.most
+    return out
+
+
+def _assign(vectors: DataFrame, points: np.ndarray, threshold: float, kind: str) -> DataFrame:
     """Each vector in its own cell (``home``) and as a visitor in the later cells that it may have links to.
     Vectors of another length than the centres' have a cell per length."""
     length = points.shape[1]
+    reach, turn = math.sqrt(max(2 - 2 * threshold, 0)) + 1e-9, math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+    least, most = _angles(vectors, points)
     gaps = 1.0 / np.maximum(np.sqrt(np.maximum(2 - 2 * points @ points.T, 0)), 1e-9)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,7 +96,9 @@ def _assign(vectors: DataFrame, points: np.ndarray, reach: float, kind: str) ->
                 near = x @ points.T
                 own = near.argmax(axis=1)
                 to_plane = (near[np.arange(len(x)), own][:, None] - near) * gaps[own]
-                r, c = np.nonzero((to_plane <= reach) & (np.arange(len(points)) > own[:, None]))
+                angle = np.arccos(np.clip(near, -1, 1))
+                r, c = np.nonzero((to_plane <= reach) & (angle <= most + turn) & (angle >= least - turn)
+                                  & (np.arange(len(points)) > own[:, None]))
                 rows += [fit, fit[r]]
                 cells += [own, c]
                 home += [np.ones(len(fit), bool), np.zeros(len(r), bool)]
@@ -111,7 +142,7 @@ def _compare(group: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
-                 per_cell: int = 400, sample_rows: int = 20_000, reach: float = 3.0) -> DataFrame:
+                 per_cell: int = 4_000, sample_rows: int = 20_000) -> DataFrame:
     """Per row: id, ``n_links``, ``component_id`` (smallest id reachable) and ``kept``.
 
     Rows link if their cosine, in double precision, is ``threshold`` or more.
@@ -136,8 +167,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         points = centres(vectors, lengths[0]["length"], lengths[0]["count"], per_cell, sample_rows)
     else:
         points = np.eye(1)
-    near = math.sqrt(2 - 2 * threshold) * min(1.0, reach / math.sqrt(points.shape[1])) + 1e-9
-    placed = materialize(_assign(vectors.select("id", "v", "copies"), points, near, kind))
+    placed = materialize(_assign(vectors.select("id", "v", "copies"), points, threshold, kind))
     sizes = placed.groupBy("cell").agg(F.count_if("home").alias("members"), F.count_if(~F.col("home")).alias("visitors"))
     spread = lambda column: F.ceil(F.col(column) / BLOCK).cast("int")
     blocks = placed.join(sizes, "cell").withColumns({"m": spread("members"), "w": spread("visitors")}).where("m > 0")
