@@ -44,4 +44,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   round(cd, 6) AS class_distance, round(wd, 6) AS common_distance FROM j
 """
 
-ORACLES = {"op4_divergence": _DIVERGENCE}
+
+
+def _equal_average() -> str:
+    """Four rounds of assignment and means, then the last assignment, by comparing with every entry."""
+    def assigned(k: int) -> str:
+        return f"""a{k} AS (SELECT vec_id, p, any_value(x) AS x, min(struct_pack(d := d, e := e)) AS near FROM (
+  SELECT vec_id, x.p, e, x, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d
+  FROM x JOIN c{k} ON x.p = c{k}.p) GROUP BY vec_id, p)"""
+
+    steps = [assigned(0)]
+    for k in range(1, 5):
+        steps.append(f"""m{k} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (
+  SELECT p, e, i, floor(sum(y) / count(*)) AS m FROM (
+    SELECT p, near.e AS e, unnest(range(1, 17)) AS i, unnest(x) AS y FROM a{k - 1}) GROUP BY p, e, i) GROUP BY p, e),
+c{k} AS (SELECT o.p, o.e, coalesce(m.c, o.c) AS c FROM c{k - 1} o LEFT JOIN m{k} m ON o.p = m.p AND o.e = m.e)""")
+        steps.append(assigned(k))
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda y: floor(1024 * y::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS (SELECT vec_id, p, v[16 * p + 1:16 * p + 16] AS x FROM (SELECT vec_id, v, unnest(range(0, 4)) AS p FROM k)),
+c0 AS (SELECT p, e, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM x) WHERE e < 256),
+{(","  + chr(10)).join(steps)},
+hash AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (
+  SELECT p, e, unnest(range(1, 17)) AS i, unnest(c) AS y FROM c4)),
+coded AS (SELECT vec_id, string_agg(printf('%02x', near.e::BIGINT), '' ORDER BY p) AS code, sum(near.d)::BIGINT AS error
+  FROM a4 GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN k USING (vec_id), hash
+"""
+
+
+ORACLES = {"op4_divergence": _DIVERGENCE, "op13_equal_average": _equal_average()}

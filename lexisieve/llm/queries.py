@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisieve.llm import cells, chat, divergence, dropout, extraction, hilbert, neardup, packing, simple8b, toxicity
+from lexisieve.llm import (
+    cells,
+    chat,
+    divergence,
+    dropout,
+    extraction,
+    hilbert,
+    neardup,
+    packing,
+    simple8b,
+    toxicity,
+    vector_codes,
+)
 from lexisieve.llm.common import scratch, table
 from lexisieve.llm.oracles import ORACLES  # noqa: F401
 
@@ -87,3 +99,9 @@ def op9_dropout(spark, sf_dir):
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           F.xxhash64("ids").alias("ids_hash"), F.md5("text").alias("decoded_md5"),
                           F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op13_equal_average(spark, sf_dir):
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(books.sha256() if books else None).cast("string"))
