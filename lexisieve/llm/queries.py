@@ -17,6 +17,7 @@ from lexisieve.llm import (
     neardup,
     packing,
     simple8b,
+    swap_packing,
     toxicity,
     vector_codes,
 )
@@ -101,6 +102,11 @@ def op9_dropout(spark, sf_dir):
                           F.char_length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op12_swaps(spark, sf_dir):
+    return swap_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_equal_average(spark, sf_dir):
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
