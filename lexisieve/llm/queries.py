@@ -16,6 +16,7 @@ from lexisieve.llm import (
     hilbert,
     neardup,
     packing,
+    repeats,
     simple8b,
     swap_packing,
     toxicity,
@@ -102,6 +103,11 @@ def op9_dropout(spark, sf_dir):
                           F.char_length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op11_recompression(spark, sf_dir):
+    return repeats.digests(repeats.find_runs(table(spark, sf_dir, "documents"), prepare=repeats.with_planted_run))
+
+
 @query
 def op12_swaps(spark, sf_dir):
     return swap_packing.pack_documents(table(spark, sf_dir, "documents"))
