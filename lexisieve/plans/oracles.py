@@ -292,6 +292,8 @@ ORACLES["knn_join"] = f"""WITH {VECTORS}
 SELECT a.id, b.id AS neighbor, row_number() OVER (PARTITION BY a.id ORDER BY {_NEAR}, b.id) AS rank, {_NEAR} AS distance
 FROM v a JOIN v b ON a.id <> b.id QUALIFY rank <= 5"""
 ORACLES["knn_tiled"] = ORACLES["knn_join"]
+ORACLES["knn_lsh_recall"] = """
+SELECT count(*) AS n_queries, count(*) * 5 AS n_neighbors, true AS reached FROM embeddings WHERE vec_id % 20 = 0"""
 
 # --- sets -------------------------------------------------------------------
 

@@ -35,6 +35,7 @@ from lexisieve.operators import (
     rules,
     similarity,
 )
+from lexisieve.operators import knn_lsh as lsh
 from lexisieve.plans import curate as curation
 from lexisieve.plans import screen
 from lexisieve.session import compact, materialize, shared_dir, spread
@@ -484,6 +485,25 @@ def knn_tiled(spark, sf):
         "rank", F.col("rank").cast("long"))
 
 
+def _asked_and_all(spark, sf) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return vectors.where("id % 20 = 0"), vectors
+
+
+@query
+def knn_lsh(spark, sf):
+    asked, vectors = _asked_and_all(spark, sf)
+    return lsh.knn_lsh(asked, vectors, "id", "vec", 5, exclude_self=True).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def knn_lsh_recall(spark, sf):
+    asked, vectors = _asked_and_all(spark, sf)
+    found = lsh.knn_lsh(asked, vectors, "id", "vec", 5, exclude_self=True)
+    exact = knn.knn_join(asked, vectors, "id", "vec", 5, exclude_self=True)
+    return lsh.recall_of(found, exact).select("n_queries", "n_neighbors", (F.col("recall") >= 0.9).alias("reached"))
+
+
 # --- sets -------------------------------------------------------------------
 
 def _keyed(spark, sf) -> DataFrame:
