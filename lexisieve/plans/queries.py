@@ -410,8 +410,7 @@ def similarity_matrix(spark, sf):
 @query
 def similarity_best_match(spark, sf):
     candidates, known = _doc_sets(spark, sf)
-    pairs = similarity.similarity_pairs(candidates, known, "doc_id", "grams", ">=0.01")
-    return rounded(similarity.best_matches(pairs), "tanimoto")
+    return rounded(similarity.best_match(candidates, known, "doc_id", "grams", ">=0.01"), "tanimoto")
 
 
 @query
