@@ -6,8 +6,10 @@ import itertools
 import math
 import random
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -23,13 +25,13 @@ from pyspark.ml.feature import PCA, StandardScaler, VarianceThresholdSelector, V
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexisieve.functions.fingerprint import add_sparse_vector, dense_bits, fold
 from lexisieve.operators.balancing import kfold, stratified_folds
 from lexisieve.operators.index import global_rank
-from lexisieve.operators.knn import knn_join, knn_vote
+from lexisieve.operators.knn import knn_join
 from lexisieve.session import compact, materialize
 
 # Fingerprint sizes of the grid.
@@ -120,38 +122,63 @@ def out_of_fold(df: DataFrame, estimator, fold: str = "fold", keep: Sequence[str
     return reduce(DataFrame.unionByName, parts)
 
 
-def _knn_out_of_fold(df: DataFrame, bits: int, k: int = 5) -> DataFrame:
-    dense = df.withColumn("vec", dense_bits(F.col("folded"), bits))
-    parts = []
-    for f in sorted(r[0] for r in df.select("fold").distinct().collect()):
-        train, test = dense.where(F.col("fold") != f), dense.where(F.col("fold") == f)
-        votes = knn_vote(knn_join(test, train, "id", "vec", k), train, "id", "label")
-        parts.append(test.join(votes, "id").select("id", "label", "fold", F.col("probability").alias("score")))
-    return reduce(DataFrame.unionByName, parts)
+#: Numbers of neighbours tried by the neighbour classifier.
+NEIGHBORS = tuple(range(1, 10))
+
+
+def _knn_out_of_fold(df: DataFrame, bits: int, neighbors: Sequence[int] = NEIGHBORS) -> DataFrame:
+    """``id, label, k, score``: votes of the ``k`` nearest rows of other folds, for every ``k``, from one join."""
+    dense = df.select("id", "label", "fold", dense_bits(F.col("folded"), bits).alias("vec"))
+    found = knn_join(dense, dense, "id", "vec", max(neighbors), apart="fold")
+    votes = found.join(df.select(F.col("id").alias("neighbor"), F.col("label").alias("vote")), "neighbor")
+    asked = votes.withColumn("k", F.explode(F.array(*map(F.lit, neighbors)))).where("rank <= k")
+    scores = asked.groupBy("id", "k").agg(F.avg("vote").alias("score"))
+    return df.select("id", "label").join(scores, "id").select("id", "label", "k", "score")
+
+
+def concurrently(tasks: Sequence, parallelism: int) -> list:
+    """Results of functions without arguments, in order, run by a bounded pool of driver threads. Each starts its own
+    Spark jobs, so that small jobs share the cluster."""
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(lambda task: task()), tasks, chunksize=1)
 
 
 def model_grid(df: DataFrame, bits_col: str, id_col: str, label: str, sizes: Sequence[int] = FINGERPRINT_SIZES,
                names: Sequence[str] = ("RF", "SVM", "KNN", "NB", "DT", "LR"), folds: int = 5, draws: int = 1,
-               seed: int = 0) -> DataFrame:
+               seed: int = 0, parallelism: int = 8) -> DataFrame:
     """``bits, model, params, auc`` for every fingerprint size and classifier,
-    from out-of-fold predictions. Sizes fold one wide fingerprint."""
+    from out-of-fold predictions. Sizes fold one wide fingerprint. Points of the grid are fitted ``parallelism`` at a
+    time over cached folds; the neighbour classifier takes one join per size for all folds and numbers of neighbours."""
     base = materialize(stratified_folds(
         df.select(F.col(id_col).alias("id"), F.col(bits_col).alias("wide"), F.col(label).cast("double").alias("label")),
         "label", "id", folds, seed))
     evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="score")
-    results = []
-    for bits in sizes:
-        folded = base.withColumn("folded", fold(F.col("wide"), bits))
-        data = compact(materialize(add_sparse_vector(folded, "folded", bits).drop("wide")))
-        for name in names:
-            if name == "KNN":
-                auc = evaluator.evaluate(_knn_out_of_fold(data, bits))
-                results.append((bits, name, "k=5", float(auc)))
-                continue
-            estimator, values = classifiers(seed)[name]
-            for params in param_maps(estimator, values, draws, seed):
-                scored = out_of_fold(data, _pipeline(estimator.copy(params), None))
-                results.append((bits, name, _named(params), float(evaluator.evaluate(scored))))
+
+    def neighbors(data: DataFrame, bits: int) -> list[tuple]:
+        scored = materialize(_knn_out_of_fold(data, bits))
+        return [(bits, "KNN", f"k={k}", float(evaluator.evaluate(scored.where(F.col("k") == k)))) for k in NEIGHBORS]
+
+    def point(data: DataFrame, bits: int, name: str, params: Mapping) -> list[tuple]:
+        estimator = classifiers(seed)[name][0]
+        scored = out_of_fold(data, _pipeline(estimator.copy(params), None))
+        return [(bits, name, _named(params), float(evaluator.evaluate(scored)))]
+
+    cached, tasks = [], []
+    try:
+        for bits in sizes:
+            folded = base.withColumn("folded", fold(F.col("wide"), bits))
+            data = compact(materialize(add_sparse_vector(folded, "folded", bits).drop("wide"))).cache()
+            cached.append(data)
+            for name in names:
+                if name == "KNN":
+                    tasks.append(partial(neighbors, data, bits))
+                    continue
+                estimator, values = classifiers(seed)[name]
+                tasks += [partial(point, data, bits, name, params) for params in param_maps(estimator, values, draws, seed)]
+        results = [row for rows in concurrently(tasks, parallelism) for row in rows]
+    finally:
+        for data in cached:
+            data.unpersist()
     return df.sparkSession.createDataFrame(results, "bits int, model string, params string, auc double")
 
 
@@ -169,7 +196,7 @@ def score_rank(df: DataFrame, model: PipelineModel | str, id_col: str, keep: Seq
 
 
 def boosted_regression(df: DataFrame, features: Sequence[str], label: str, id_cols: Sequence[str],
-                       folds: int = 3, seed: int = 0, depths: Sequence[int] = (3, 5), max_iter: int = 10) -> DataFrame:
+                       folds: int = 3, seed: int = 0, depths: Sequence[int] = (3, 5), max_iter: int = 50) -> DataFrame:
     """Cross-validated RMSE of boosted trees per depth: ``max_depth, rmse``."""
     assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(
         df.select(F.xxhash64(*id_cols).alias("__id"), *features, F.col(label).cast("double").alias("label")))

@@ -12,9 +12,12 @@ from lexisieve.operators.cleaning import add_token_pass, keep_valid, normalize_r
 from lexisieve.operators.dedup import distinct_by
 from lexisieve.operators.index import add_index
 from lexisieve.sources.readers import read_items
-from lexisieve.sources.files import base_name
+from lexisieve.sources.files import base_name, input_facts, read_text, write_text
 from lexisieve.sources.writers import MARK, already_processed, finished, save_result
 
+#: File of a curated output that names the files it was made of.
+INPUT_FACTS = "_INPUTS"
+
 
 def clean_rows(df: DataFrame, text_col: str = "SMILES", known: Sequence[str] | None = None) -> DataFrame:
     """The stateless part of :func:`curate`, also usable on a stream."""
@@ -60,14 +63,18 @@ def curate(df: DataFrame, id_col: str = "ID", text_col: str = "SMILES", key: Col
 
 
 def curate_file(spark, path: str, out_dir: str, fmt: str = "csv", **options) -> str:
-    """Read, curate and save a library file. A finished output, or an input that
-    is already curated, is returned as it is; an unfinished output is redone."""
+    """Read, curate and save a library file. A finished output of the same input, or an input that
+    is already curated, is returned as it is. An unfinished output is redone, and so is the output of an input whose
+    files have changed since: their paths, lengths and times lie beside ``_SUCCESS``."""
     if already_processed(path):
         return path
     out = f"{out_dir.rstrip('/')}/{base_name(path)}{MARK}.{fmt}"
-    if finished(spark, out):
+    facts, noted = input_facts(spark, path), f"{out}/{INPUT_FACTS}"
+    if finished(spark, out) and read_text(spark, noted) == facts:
         return out
     df = read_items(spark, path)
     if "ID" not in df.columns:
         df = add_index(df, ["SMILES"], "ID")
-    return save_result(curate(df, **options), out, fmt, mode="overwrite")
+    save_result(curate(df, **options), out, fmt, mode="overwrite")
+    write_text(spark, noted, facts)
+    return out

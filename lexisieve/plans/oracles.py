@@ -70,7 +70,7 @@ COARSE = f"(SELECT {grams('h')} FROM (SELECT list_transform(words, lambda x: sub
 ORACLES["scan_project"] = r"""
 SELECT doc_id AS ID, text AS SMILES FROM documents"""
 ORACLES["resume_curate"] = """
-SELECT min(p_partkey::VARCHAR)::BIGINT AS ID, 'CC' || repeat('C', p_size % 7) AS SMILES, true AS same_path FROM part GROUP BY p_size % 7"""
+SELECT min(p_partkey::VARCHAR)::BIGINT AS ID, 'CC' || repeat('C', p_size % 9) AS SMILES, true AS same_path FROM part GROUP BY p_size % 9"""
 ORACLES["tsv_roundtrip"] = "SELECT p_partkey, p_name, p_size, p_retailprice FROM part"
 ORACLES["merge_files"] = """
 SELECT s_suppkey, s_name, s_nationkey::DOUBLE AS s_nationkey, s_acctbal FROM supplier
@@ -522,6 +522,21 @@ SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 1
   event_type AS metric, round(avg(value), 6) AS mean, count(*) AS n
 FROM (SELECT event_type, value, time_bucket(INTERVAL 12 HOUR, ts) - k * INTERVAL 12 HOUR AS s FROM events, range(2) AS r(k))
 GROUP BY s, event_type HAVING s + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
+ORACLES["stream_session_windows"] = """
+WITH e AS (SELECT event_type, value, ts, CASE event_type WHEN 'view' THEN INTERVAL 10 MINUTE WHEN 'click' THEN INTERVAL 20 MINUTE
+    WHEN 'purchase' THEN INTERVAL 45 MINUTE ELSE INTERVAL 30 MINUTE END AS gap FROM events),
+m AS (SELECT *, ts > lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + gap AS fresh FROM e),
+s AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY event_type ORDER BY ts) AS session FROM m)
+SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS window_start, strftime(max(ts + gap), '%Y-%m-%d %H:%M:%S.%f') AS window_end,
+  event_type AS metric, round(avg(value), 6) AS mean, count(*) AS n
+FROM s GROUP BY event_type, session HAVING max(ts + gap) <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"""
+ORACLES["stream_until_n"] = """
+WITH v AS (SELECT doc_id, md5(text) AS key FROM documents WHERE n_chars >= 500 AND text IS NOT NULL),
+f AS (SELECT key, min((doc_id % 8, doc_id)) AS place FROM v GROUP BY key)
+SELECT place[2] AS doc_id, key FROM f ORDER BY place LIMIT 400"""
+ORACLES["stream_file_by_file"] = """
+SELECT l_orderkey, l_linenumber, count(*) AS n, sum(l_quantity) AS quantity, true AS went_on FROM lineitem
+GROUP BY l_orderkey, l_linenumber"""
 ORACLES["map_partitions"] = """
 SELECT p_partkey, p_size, p_retailprice, round_even(p_retailprice * 2.0 / p_size, 6)::DOUBLE AS ratio FROM part"""
 ORACLES["udf_score"] = """

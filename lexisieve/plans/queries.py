@@ -137,7 +137,7 @@ def sdf_scan(spark, sf):
 
 @query
 def resume_curate(spark, sf):
-    """A library is curated anew where an earlier run left an unfinished output, and only there."""
+    """A library is curated anew where an earlier run left an unfinished output, and where its input has changed."""
     raw, out = f"{scratch(spark, 'raw')}/lib.csv", scratch(spark, "resumed")
     writers.save_result(table(spark, sf, "part").select(F.col("p_partkey").alias("ID"), F.concat(
         F.lit("CC"), F.repeat(F.lit("C"), (F.col("p_size") % 7).cast("int"))).alias("SMILES")), raw, "csv")
@@ -145,6 +145,9 @@ def resume_curate(spark, sf):
     table(spark, sf, "region").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").csv(unfinished)
     first = curation.curate_file(spark, raw, out)
     again = curation.curate_file(spark, raw, out)
+    writers.save_result(table(spark, sf, "part").select(F.col("p_partkey").alias("ID"), F.concat(
+        F.lit("CC"), F.repeat(F.lit("C"), (F.col("p_size") % 9).cast("int"))).alias("SMILES")), raw, "csv", mode="overwrite")
+    again = curation.curate_file(spark, raw, out)  # of another input
     return readers.read_delimited(spark, again, multi_line=False).select(
         F.col("ID").cast("long").alias("ID"), "SMILES", F.lit(first == again == unfinished).alias("same_path"))
 
@@ -829,14 +832,14 @@ def model_grid(spark, sf):
 def oof_predictions(spark, sf):
     data = FP.add_sparse_vector(_features(spark, sf), "bits", 256)
     folded = compact(materialize(balancing.stratified_folds(data.select("id", "label", "features"), "label", "id", 3)))
-    return models.out_of_fold(folded, LogisticRegression(maxIter=20, tol=1e-4, regParam=0.1))
+    return models.out_of_fold(folded, LogisticRegression(tol=1e-4, regParam=0.1))
 
 
 @query
 def score_rank(spark, sf):
     path = scratch(spark, "model")
     data = compact(materialize(FP.add_sparse_vector(_features(spark, sf), "bits", 256)))
-    Pipeline(stages=[LogisticRegression(maxIter=20, tol=1e-4, regParam=0.1)]).fit(data).write().save(path)
+    Pipeline(stages=[LogisticRegression(tol=1e-4, regParam=0.1)]).fit(data).write().save(path)
     fresh = FP.add_sparse_vector(_word_bits(spark, sf, 1, 256), "bits", 256)
     return models.score_rank(fresh, path, "doc_id")
 
@@ -895,6 +898,71 @@ def stream_sliding_windows(spark, sf):
     return rounded(out.withColumns(as_text), "mean")
 
 
+#: Sessions of a metric end after this time without a row.
+SESSION_GAPS = {"view": "10 minutes", "click": "20 minutes", "purchase": "45 minutes"}
+
+
+@query
+def stream_session_windows(spark, sf):
+    gap = F.lit("30 minutes")
+    for metric, length in SESSION_GAPS.items():
+        gap = F.when(F.col("event_type") == metric, length).otherwise(gap)
+    windows = streams.metric_windows(_stream(spark, sf, "events"), "ts", "event_type", "value", "", gap=gap, delay="2 hours")
+    out = streams.write_available(windows, scratch(spark, "out"), scratch(spark, "state"))
+    as_text = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("window_start", "window_end")}
+    return rounded(out.withColumns(as_text), "mean")
+
+
+#: Files that stand for arrivals one after another.
+ARRIVALS = 8
+
+
+def _arrivals(spark, df: DataFrame, number: F.Column) -> str:
+    """A folder to which the rows were written in ``ARRIVALS`` steps, in this order."""
+    folder = scratch(spark, "arrivals")
+    for k in range(ARRIVALS):
+        compact(df.where(number == k)).write.mode("append").parquet(folder)
+    return folder
+
+
+@query
+def stream_until_n(spark, sf):
+    """The first 400 distinct texts of 500 characters or more, in order of arrival."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    folder = _arrivals(spark, docs, F.col("doc_id") % ARRIVALS)
+    stream = streams.read_stream(spark, folder, docs.schema, max_files=1)
+    found = streams.collect_until(stream, scratch(spark, "kept"), scratch(spark, "state"), 400,
+                                  lambda: F.md5("text"), F.col("n_chars") >= 500, "doc_id")
+    return found.select("doc_id", F.md5("text").alias("key"))
+
+
+@query
+def stream_distinct_bounded(spark, sf):
+    """Users and kinds of events not seen within a day, over events that arrive in order of time; the state forgets."""
+    events = table(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    day = F.datediff("ts", F.lit("2024-01-01"))
+    folder = _arrivals(spark, events, F.least(F.floor(day / 4), F.lit(ARRIVALS - 1)))
+    stream = streams.distinct_stream(streams.read_stream(spark, folder, events.schema, max_files=1),
+                                     ["user_id", "event_type"], "ts", "1 day")
+    out, held = streams.state_rows(stream, scratch(spark, "out"), scratch(spark, "state"))
+    return out.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n_seen_anew")).withColumn(
+        "state_rows", F.lit(held).cast("long"))
+
+
+@query
+def stream_file_by_file(spark, sf):
+    """Split files read back one after another; the reading stops half way and goes on."""
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    folder = _arrivals(spark, items, F.pmod(F.col("l_orderkey"), F.lit(ARRIVALS)))
+    stream = streams.read_stream(spark, folder, items.schema, max_files=1)
+    out, state = scratch(spark, "out"), scratch(spark, "state")
+    half = streams.process_files(stream, out, state, most=ARRIVALS // 2)
+    whole = streams.process_files(stream, out, state)
+    return spark.read.schema(items.schema).parquet(out).groupBy("l_orderkey", "l_linenumber").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity")).withColumn(
+        "went_on", F.lit(ARRIVALS // 2 <= half < whole))
+
+
 # --- caller's functions -----------------------------------------------------
 
 def _add_ratio(frame, factor):

@@ -61,3 +61,38 @@ def with_file_identity(df: DataFrame) -> DataFrame:
     """Add ``file_name`` and ``file_format`` of the file each row came from."""
     path = F.col("_metadata.file_path")
     return df.select("*", name_column(path).alias("file_name"), format_column(path).alias("file_format"))
+
+
+def input_facts(spark: SparkSession, path: str) -> str:
+    """Paths, lengths and modification times of the files of an input, one line each, in order of path: a changed
+    input has other facts. Only names are read."""
+    hadoop_path, fs = _path(spark, path)
+    lines = []
+    for status in fs.globStatus(hadoop_path) or []:
+        found = fs.listFiles(status.getPath(), True)
+        while found.hasNext():
+            one = found.next()
+            lines.append(f"{one.getPath()}\t{one.getLen()}\t{one.getModificationTime()}")
+    return "\n".join(sorted(lines))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, replaced if it exists."""
+    hadoop_path, fs = _path(spark, path)
+    out = fs.create(hadoop_path, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, or None if there is none."""
+    if not exists(spark, path):
+        return None
+    hadoop_path, fs = _path(spark, path)  # Spark's readers skip names with an underscore in front
+    stream = fs.open(hadoop_path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -24,10 +24,11 @@ def test_grid_has_every_size_classifier_and_parameter(spark, monkeypatch):
         return df.select("id", "label", "fold", F.rand(1).alias("score"))
 
     monkeypatch.setattr(models, "out_of_fold", predictions)
-    monkeypatch.setattr(models, "_knn_out_of_fold", predictions)
+    monkeypatch.setattr(models, "_knn_out_of_fold", lambda df, *rest: predictions(df).crossJoin(
+        F.broadcast(df.sparkSession.range(1, 10).withColumnRenamed("id", "k"))))
     got = {(r.bits, r.model): r["count"] for r in QUERIES["model_grid"](spark, SF).groupBy("bits", "model").count().collect()}
     names = ("RF", "SVM", "NB", "DT", "LR")
-    assert got == {(b, n): points()[n] for b in models.FINGERPRINT_SIZES for n in names} | {(b, "KNN"): 1 for b in models.FINGERPRINT_SIZES}
+    assert got == {(b, n): points()[n] for b in models.FINGERPRINT_SIZES for n in names} | {(b, "KNN"): 9 for b in models.FINGERPRINT_SIZES}
     assert set(folds) == {5}
 
 
@@ -58,7 +59,7 @@ def test_boosting_tries_every_depth(spark, monkeypatch):
     monkeypatch.setattr(models, "GBTRegressor", lambda **named: iterations.append(named["maxIter"]) or real(**named))
     rows = QUERIES["gbt_rmse"](spark, SF).collect()
     assert [r.max_depth for r in rows] == list(given["depths"].default) and all(r.rmse > 0 for r in rows)
-    assert iterations == [given["max_iter"].default]
+    assert iterations == [50] == [given["max_iter"].default]
 
 
 def test_mixtures_and_their_parameters(spark, monkeypatch):

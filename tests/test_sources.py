@@ -163,3 +163,22 @@ def test_unfinished_output_is_redone(spark, tmp_path):
     assert writers.save_once(df, str(tmp_path / "out"))
     assert not writers.save_once(df, str(tmp_path / "out"))
     assert readers.read_delimited(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_curated_anew_when_the_input_changes(spark, tmp_path):
+    raw, out = str(tmp_path / "lib.csv"), str(tmp_path / "out")
+
+    def put(rows):
+        spark.createDataFrame(rows, "ID string, SMILES string").coalesce(1).write.mode("overwrite").option("header", True).csv(raw)
+
+    def read(path):
+        return sorted(r.SMILES for r in spark.read.option("header", True).csv(path).collect())
+
+    put([("1", "CCO"), ("2", "CCN")])
+    path = curate.curate_file(spark, raw, out)
+    assert read(path) == ["CCN", "CCO"]
+    facts = files.read_text(spark, f"{path}/_INPUTS")
+    assert curate.curate_file(spark, raw, out) == path and files.read_text(spark, f"{path}/_INPUTS") == facts
+    put([("1", "CCO"), ("2", "CCF")])
+    assert read(curate.curate_file(spark, raw, out)) == ["CCF", "CCO"]
+    assert files.read_text(spark, f"{path}/_INPUTS") != facts and files.read_text(spark, f"{path}/none") is None
