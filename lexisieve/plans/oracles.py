@@ -544,3 +544,23 @@ SELECT p_partkey, p_type, CASE p_type WHEN 'ECONOMY' THEN 1.0 WHEN 'PROMO' THEN
 FROM part"""
 ORACLES["train_per_group"] = """
 SELECT p_type, count(*) AS n, round(regr_slope(p_retailprice, p_size), 6) AS slope FROM part GROUP BY p_type"""
+
+# --- what holds for results that SQL cannot compute --------------------------
+
+ORACLES["sketch_percentiles"] = """
+SELECT descriptor, p::DOUBLE AS p, true AS within FROM (VALUES ('l_quantity'), ('l_extendedprice')) AS d(descriptor), (VALUES (0.05), (0.5), (0.95)) AS q(p)"""
+ORACLES["sketch_distinct"] = """
+SELECT 'user_id' AS column, count(DISTINCT user_id) AS exact, true AS within FROM events
+UNION ALL SELECT 'value', count(DISTINCT value), true FROM events"""
+ORACLES["som_errors"] = "SELECT unnest(range(2, 10)) AS round, true AS falls"
+ORACLES["oof_check"] = """
+SELECT count(*) AS n, count(DISTINCT doc_id) AS n_ids, sum(quality)::BIGINT AS n_positive, true AS probabilities, 3::BIGINT AS folds
+FROM documents JOIN labels USING (doc_id)"""
+ORACLES["rank_check"] = """
+SELECT count(*) AS n, count(*) AS n_ids, count(*) AS n_ranks, 1::BIGINT AS first, count(*) AS last, 0::BIGINT AS rises FROM documents"""
+ORACLES["gmm_check"] = """
+SELECT c AS column, 10::BIGINT AS components, 1.0::DOUBLE AS weights, (SELECT count(*) FROM lineitem) AS n_given
+FROM (VALUES ('l_extendedprice'), ('l_quantity')) AS t(c)"""
+ORACLES["embed_2d_check"] = """
+SELECT count(*) AS n, true AS centred_x, true AS centred_y, true AS uncorrelated, true AS in_order FROM embeddings"""
+ORACLES["embed_graph_check"] = "SELECT count(*) AS n, true AS degrees, true AS orthogonal, true AS unit FROM embeddings"

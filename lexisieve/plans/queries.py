@@ -34,6 +34,9 @@ from lexisieve.operators import (
     ranking,
     rules,
     similarity,
+    sketches,
+    som,
+    spectral,
 )
 from lexisieve.operators import knn_lsh as lsh
 from lexisieve.plans import curate as curation
@@ -659,6 +662,51 @@ def metric_means(spark, sf):
     return rounded(profiling.metric_means(table(spark, sf, "events"), "event_type", "value"), "mean")
 
 
+@query
+def sketch_percentiles(spark, sf):
+    """Percentiles from stored sketches per month: whether their ranks are right within 2 %."""
+    items = table(spark, sf, "lineitem")
+    parts = materialize(sketches.sketch_parts(items, {"month": F.date_trunc("month", "l_shipdate")}, ["l_quantity", "l_extendedprice"]))
+    merged = sketches.merge_parts(parts)
+    out = None
+    for c in ("l_quantity", "l_extendedprice"):
+        errors = sketches.rank_errors(items, sketches.percentiles(merged, c, [0.05, 0.5, 0.95]), c)
+        one = errors.select(F.lit(c).alias("descriptor"), "p", (F.col("error") <= 0.02).alias("within"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def sketch_distinct(spark, sf):
+    """Distinct counts from stored sketches per day: whether they are right within 5 %."""
+    events = table(spark, sf, "events")
+    parts = materialize(sketches.sketch_parts(events, {"day": F.to_date("ts")}, keys=["user_id"], comparable=["value"]))
+    about = sketches.distinct_counts(sketches.merge_parts(parts))
+    exact = events.agg(F.count_distinct("user_id").alias("user_id"), F.count_distinct("value").alias("value")).unpivot(
+        [], ["user_id", "value"], "column", "exact")
+    return about.join(exact, "column").select(
+        "column", "exact", (F.abs(F.col("about") - F.col("exact")) <= 0.05 * F.col("exact")).alias("within"))
+
+
+def _map(spark, sf) -> tuple[DataFrame, som.SelfOrganisingMap]:
+    vectors = table(spark, sf, "embeddings").withColumn("y", F.col("label") % 2)
+    return vectors, som.train_map(vectors, "embedding", seed=3)
+
+
+@query
+def som_purity(spark, sf):
+    vectors, trained = _map(spark, sf)
+    placed = materialize(som.assign_nodes(vectors, trained, "embedding").select("vec_id", "y", "cell"))
+    return profiling.cell_purity(placed, placed.select("vec_id", "cell"), "cell", "y")
+
+
+@query
+def som_errors(spark, sf):
+    """Whether the quantisation error falls from each round with a neighbourhood to the next."""
+    errors = _map(spark, sf)[1].errors
+    return spark.createDataFrame([(r, b < a) for (_, _, a), (r, _, b) in zip(errors[1:], errors[2:])], "round long, falls boolean")
+
+
 # --- order and ranks --------------------------------------------------------
 
 @query
@@ -857,6 +905,60 @@ def embed_2d(spark, sf):
     return models.embed_2d(vectors, "embedding", "vec_id", "source")
 
 
+@query
+def oof_check(spark, sf):
+    """Every labelled row is predicted once, by a probability."""
+    return oof_predictions(spark, sf).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"), F.sum("label").cast("long").alias("n_positive"),
+        F.bool_and(F.col("score").between(0, 1)).alias("probabilities"), F.count_distinct("fold").alias("folds"))
+
+
+@query
+def rank_check(spark, sf):
+    """Ranks are 1 to n, and scores fall along them."""
+    ranked = materialize(score_rank(spark, sf))
+    later = ranked.select((F.col("rank") - 1).alias("rank"), F.col("score").alias("later"))
+    return ranked.join(later, "rank", "left").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_ids"), F.count_distinct("rank").alias("n_ranks"),
+        F.min("rank").cast("long").alias("first"), F.max("rank").cast("long").alias("last"),
+        F.count(F.when(F.col("later") > F.col("score"), 1)).alias("rises"))
+
+
+@query
+def gmm_check(spark, sf):
+    """Components and weights of the mixtures, and rows given to a component."""
+    rows, parameters = _mixtures(spark, sf)
+    given = rows.select(*[F.col(f"{c}_component").alias(c) for c in ("l_extendedprice", "l_quantity")]).unpivot(
+        [], ["l_extendedprice", "l_quantity"], "column", "component").groupBy("column").agg(
+        F.count(F.when(F.col("component").between(0, 9), 1)).alias("n_given"))
+    return parameters.groupBy("column").agg(
+        F.count(F.lit(1)).alias("components"), F.round(F.sum("weight"), 6).alias("weights")).join(given, "column")
+
+
+@query
+def embed_2d_check(spark, sf):
+    """The axes are centred, uncorrelated and in order of variance."""
+    return embed_2d(spark, sf).agg(
+        F.count(F.lit(1)).alias("n"), (F.abs(F.avg("x")) < 1e-6).alias("centred_x"), (F.abs(F.avg("y")) < 1e-6).alias("centred_y"),
+        (F.abs(F.corr("x", "y")) < 1e-6).alias("uncorrelated"), (F.var_pop("x") >= F.var_pop("y")).alias("in_order"))
+
+
+@query
+def embed_graph(spark, sf):
+    vectors = table(spark, sf, "embeddings").withColumn("source", F.col("label").cast("string"))
+    return spectral.embed_graph(vectors, "embedding", "vec_id", "source", rounds=20)
+
+
+@query
+def embed_graph_check(spark, sf):
+    """The axes are orthogonal to the walk's resting state and to each other, and of length one."""
+    d, x, y = F.col("degree"), F.col("x"), F.col("y")
+    return embed_graph(spark, sf).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(d >= 10).alias("degrees"),
+        (F.greatest(F.abs(F.sum(d * x)), F.abs(F.sum(d * y)), F.abs(F.sum(d * x * y))) < 1e-6).alias("orthogonal"),
+        (F.greatest(F.abs(F.sum(d * x * x) - 1), F.abs(F.sum(d * y * y) - 1)) < 1e-6).alias("unit"))
+
+
 @query
 def standardize(spark, sf):
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
