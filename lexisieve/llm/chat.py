@@ -108,7 +108,7 @@ def prefix_tree(turns: DataFrame, vocabulary: str = BYTE_BPE, learns: str = "ass
             return out
         rows = list(rows)
         pieces = [piece for row in rows for piece in format_turn(row.role, row.text)]
-        ids = [np.frombuffer(x, "<u2").astype(np.int32) for x in encoder(vocabulary).encode(pieces)]
+        ids = [np.frombuffer(x, "<u2").astype(np.int32) for x in encoder(vocabulary, literal=True).encode(pieces)]
         for k, row in enumerate(rows):
             head, text, end = ids[3 * k:3 * k + 3]
             chain = hashlib.blake2b(state.get("chain", b""), digest_size=16)
@@ -183,7 +183,7 @@ def read_back(tree: DataFrame, members: DataFrame, vocabulary: str = BYTE_BPE) -
             state |= {"turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "loss_chars": 0, "chars": 0}
         if nodes is None:
             return [(key, state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"])]
-        decode = encoder(vocabulary).library.decode
+        decode = encoder(vocabulary, literal=True).library.decode
         for row in nodes:
             formatted = decode(list(row.ids), skip_special_tokens=False)
             role, text = parse_turn(formatted)

@@ -3,7 +3,7 @@
 A byte-level BPE vocabulary splits a text by a fixed pattern and merges inside
 each word only, so the ids of a text are the ids of its words in a row. Each
 Python worker keeps the ids of the words it has met, and asks the library for
-new words in long runs. Texts with characters for which Python's ``re`` might
+new words in long runs. Texts with a special token, and texts with characters for which Python's ``re`` might
 split differently from the vocabulary's own pattern go to the library whole.
 """
 
@@ -31,11 +31,13 @@ WORDS_KEPT = 1_200_000
 
 
 class WordEncoder:
-    """``encode`` gives the uint16 ids of a text as little-endian bytes."""
+    """``encode`` gives the uint16 ids of a text as little-endian bytes. With ``literal`` the vocabulary's special
+    tokens are ordinary text where they occur in a text."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, literal: bool = False):
         self.library = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.library.encode_special_tokens = True  # control strings inside a text are ordinary text
+        self.library.encode_special_tokens = literal
+        self.special = [] if literal else [t.content for t in self.library.get_added_tokens_decoder().values()]
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.known: dict[str, bytes] = {}
@@ -68,7 +70,7 @@ class WordEncoder:
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; a null text is an empty one."""
         texts = ["" if t is None else t for t in texts]
-        words = [_SPLIT.findall(t) if _PLAIN.fullmatch(t) else None for t in texts]
+        words = [_SPLIT.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
         get = self.known.get
         found = [None if ws is None else list(map(get, ws)) for ws in words]
         new = {w for ws, ids in zip(words, found) if ids and None in ids for w, x in zip(ws, ids) if x is None}
@@ -84,11 +86,11 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(vocabulary: str = BYTE_BPE) -> WordEncoder:
+def encoder(vocabulary: str = BYTE_BPE, literal: bool = False) -> WordEncoder:
     """The worker's encoder, built once per process."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = WordEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    if (vocabulary, literal) not in _ENCODERS:
+        _ENCODERS[vocabulary, literal] = WordEncoder(vocabulary, literal)
+    return _ENCODERS[vocabulary, literal]

@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -58,7 +59,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
-        self[word] = value = zlib.crc32(word) << 32 | zlib.crc32(word, 0x5BD1E995)
+        self[word] = value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         return value
 
 

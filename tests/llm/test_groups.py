@@ -126,3 +126,16 @@ def test_near_vectors_equal_brute_force(spark, per_cell):
     assert [got[1000 + i].n_links for i in range(len(odd))] == [0] * 6 + [1, 1]
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
     assert cells.near_vectors(df.where("false")).count() == 0
+
+
+def test_words_whose_checksums_collide_are_different(spark):
+    rows = [(1, "wmnluekz"), (2, "xcpcgzhl"), (3, "one two three wmnluekz five"), (4, "one two three xcpcgzhl five")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, percent=80)
+    assert {(r.doc_id, r.component_id, r.kept) for r in found.collect()} == {(i, i, True) for i in range(1, 5)}
+
+
+def test_word_hashes_have_64_bits():
+    from lexisieve.llm.neardup import shingle_set
+    rng = random.Random(0)
+    words = {"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(400_000)}
+    assert len(np.unique(np.concatenate([shingle_set(w, 1) for w in words]))) == len(words)

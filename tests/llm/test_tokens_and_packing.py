@@ -21,7 +21,6 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def library():
     tokenizer = Tokenizer.from_file(public_tokenizers.path(BYTE_BPE))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -42,16 +41,22 @@ def test_words_give_the_ids_of_the_whole_text(library):
             assert np.frombuffer(ids, "<u2").tolist() == library(text)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab' \t\n\r1.,_é×\x0b\x1c²", max_size=40))
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"ab' \t\n\r1.,_é×\x0b\x1c²", " ", "  ", "\n ", " word", "<|endoftext|>"]), max_size=25).map("".join))
 def test_any_text_is_split_alike(text):
-    encoder = WordEncoder.__new__(WordEncoder)
-    encoder.library, encoder.known = _LIBRARY, {}
-    ids = np.frombuffer(encoder.encode([text])[0], "<u2").tolist()
-    assert ids == _LIBRARY.encode(text, add_special_tokens=False).ids
+    for encoder in _ENCODERS:
+        want = encoder.library.encode(text, add_special_tokens=False).ids
+        for _ in range(2):  # new chunks, then known ones
+            assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == want
 
 
-_LIBRARY = WordEncoder(BYTE_BPE).library
+_ENCODERS = [WordEncoder(BYTE_BPE, literal) for literal in (False, True)]
+
+
+def test_special_tokens_are_the_librarys_unless_literal():
+    text = "hello <|endoftext|> x"
+    ids = [np.frombuffer(e.encode([text])[0], "<u2").tolist() for e in _ENCODERS]
+    assert ids[0] == [31373, 220, 50256, 2124] and len(ids[1]) == 9
 
 
 @settings(max_examples=80, deadline=None)
