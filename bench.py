@@ -9,6 +9,7 @@ import contextlib
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,6 +31,8 @@ def main() -> None:
     spark = build_session("bench", f"local[{cpus}]", spark__ui__enabled="false", spark__driver__memory="16g",
                           spark__sql__shuffle__partitions=cpus)
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):  # one machine
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bench-"))
     names = [n for n in sys.argv[1:] if n in REGISTRY] or HEADLINE
     with contextlib.redirect_stdout(sys.stderr):
         times = {}

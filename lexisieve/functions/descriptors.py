@@ -106,6 +106,12 @@ def element_count(tokens: Column, symbols: Sequence[str]) -> Column:
     return F.size(F.filter(tokens, lambda t: t.isin(*symbols)))
 
 
+def element_counts(tokens: Column, symbols: Sequence[str] = ATOM_TOKENS) -> Column:
+    """Array of ``element, n`` for the symbols that occur, in the order given."""
+    counts = F.array(*[F.struct(F.lit(s).alias("element"), element_count(tokens, [s]).alias("n")) for s in symbols])
+    return F.filter(counts, lambda c: c["n"] > 0)
+
+
 def branch_depth(tokens: Column) -> Column:
     """Deepest nesting of parentheses."""
     state = F.aggregate(

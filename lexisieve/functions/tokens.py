@@ -72,6 +72,11 @@ def encode(tokens: Column, pad: int = 50, ids: Mapping[str, int] = TOKEN_IDS) ->
     return F.slice(F.concat(body, F.array_repeat(F.lit(END_ID), pad)), 1, pad)
 
 
+def encode_whole(tokens: Column, ids: Mapping[str, int] = TOKEN_IDS) -> Column:
+    """Start id, the ids of all tokens, end id: :func:`encode` with room for the whole text."""
+    return F.concat(F.array(F.lit(START_ID)), token_ids(tokens, ids), F.array(F.lit(END_ID)))
+
+
 def encoded_length(tokens: Column, pad: int = 50) -> Column:
     return F.least(F.size(tokens) + 1, F.lit(pad - 1))
 
@@ -113,13 +118,17 @@ def decode_with_vocab(ids: Column, names: Column, bos: Column | None = None,
 def encode_by_join(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, specials: Mapping[str, int]) -> DataFrame:
     """``id``, ``ids``: begin mark, ids of the tokens by join with ``token, id``, end mark.
 
-    The vocabulary may have any size; tokens outside it get the unknown id.
-    Rows are put together again by id, so ids have to be unique.
+    The vocabulary may have any size; tokens outside it get the unknown id. The
+    join has one row per *distinct* token of a row; tokens are replaced in
+    place. Rows are put together again by id, so ids have to be unique.
     """
-    each = df.select(id_col, F.posexplode_outer(tokens_col).alias("__pos", "token"))
-    named = each.join(vocab.select("token", "id"), "token", "left").select(
-        id_col, F.when(F.col("token").isNotNull(), F.struct(
-            "__pos", F.coalesce("id", F.lit(specials[UNK])).cast("long").alias("id"))).alias("__t"))
-    ordered = named.groupBy(id_col).agg(F.sort_array(F.collect_list("__t")).alias("__t"))
+    each = df.select(id_col, F.explode(F.array_distinct(tokens_col)).alias("token"))
+    named = each.join(vocab.select("token", "id"), "token").groupBy(id_col).agg(
+        F.map_from_entries(F.collect_list(F.struct("token", F.col("id").cast("long")))).alias("__ids"))
+    joined = df.select(id_col, tokens_col).join(named, id_col, "left")
+    unknown = F.lit(specials[UNK]).cast("long")
+    none = F.create_map().cast("map<string,bigint>")
+    body = F.transform(F.coalesce(tokens_col, F.array().cast("array<string>")),
+                       lambda t: F.coalesce(F.try_element_at(F.coalesce("__ids", none), t), unknown))
     mark = lambda name: F.array(F.lit(specials[name]).cast("long"))
-    return ordered.select(id_col, F.concat(mark(BOS), F.col("__t")["id"], mark(EOS)).alias("ids"))
+    return joined.select(id_col, F.concat(mark(BOS), body, mark(EOS)).alias("ids"))

@@ -7,9 +7,7 @@ import math
 import random
 from collections.abc import Mapping, Sequence
 from functools import partial, reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -25,14 +23,14 @@ from pyspark.ml.feature import PCA, StandardScaler, VarianceThresholdSelector, V
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisieve.functions.fingerprint import add_sparse_vector, dense_bits, fold
 from lexisieve.operators.balancing import kfold, stratified_folds
 from lexisieve.operators.index import global_rank
 from lexisieve.operators.knn import knn_join
-from lexisieve.session import compact, materialize
+from lexisieve.session import compact, concurrently, materialize
 
 # Fingerprint sizes of the grid.
 FINGERPRINT_SIZES = (64, 128, 256, 512, 1024, 2048)
@@ -136,13 +134,6 @@ def _knn_out_of_fold(df: DataFrame, bits: int, neighbors: Sequence[int] = NEIGHB
     return df.select("id", "label").join(scores, "id").select("id", "label", "k", "score")
 
 
-def concurrently(tasks: Sequence, parallelism: int) -> list:
-    """Results of functions without arguments, in order, run by a bounded pool of driver threads. Each starts its own
-    Spark jobs, so that small jobs share the cluster."""
-    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
-        return pool.map(inheritable_thread_target(SparkSession.active())(lambda task: task()), tasks, chunksize=1)
-
-
 def model_grid(df: DataFrame, bits_col: str, id_col: str, label: str, sizes: Sequence[int] = FINGERPRINT_SIZES,
                names: Sequence[str] = ("RF", "SVM", "KNN", "NB", "DT", "LR"), folds: int = 5, draws: int = 1,
                seed: int = 0, parallelism: int = 8) -> DataFrame:

@@ -76,7 +76,7 @@ ORACLES["merge_files"] = """
 SELECT s_suppkey, s_name, s_nationkey::DOUBLE AS s_nationkey, s_acctbal FROM supplier
 UNION ALL SELECT c_custkey, c_name, NULL, NULL FROM customer"""
 ORACLES["sdf_scan"] = """
-SELECT doc_id AS id, lang, rtrim(translate(text, chr(13) || chr(10), '__'), ' ') AS body, '0  0' AS counts
+SELECT doc_id AS id, lang, rtrim(text, ' ') AS body, '0  0' AS counts
 FROM documents"""
 ORACLES["file_identity"] = " UNION ALL ".join(
     f"SELECT '{t}' AS file_name, 'parquet' AS file_format, count(*) AS n FROM {t}"
@@ -208,7 +208,7 @@ ORACLES["encode_pad"] = f"""WITH {PASSING}
 SELECT ID, array_to_string(list_resize(list_concat([1], ids)[1:99], 100, 2), ',') AS ids,
   least(len(tokens) + 1, 99) AS length FROM m"""
 ORACLES["decode_roundtrip"] = f"""WITH {PASSING}
-SELECT ID, array_to_string(tokens[1:198], '') AS decoded, array_to_string(tokens[1:198], '') = SMILES AS whole FROM m"""
+SELECT ID, array_to_string(tokens, '') AS decoded, array_to_string(tokens, '') = SMILES AS whole FROM m"""
 ORACLES["encode_unk"] = f"""
 WITH t AS (SELECT doc_id, lang, {atoms_of('text', TWO_LETTER_ATOMS_EXTENDED)} AS tokens FROM documents),
 seen AS (SELECT DISTINCT unnest(tokens) AS token FROM t WHERE lang = 'en'),
@@ -253,6 +253,11 @@ SELECT ID, length(SMILES) AS length, len(tokens) AS n_tokens,
   len(regexp_extract_all(regexp_replace(SMILES, '\[[^\]]*\]', '*', 'g'), '(%[0-9][0-9]|[1-9])', 1)) // 2 AS n_rings,
   coalesce(branch_depth, 0) AS branch_depth FROM t LEFT JOIN m USING (ID)"""
 
+ORACLES["element_counts"] = f"""
+SELECT doc_id AS ID, token AS element, count(*) AS n FROM (SELECT doc_id, unnest({atoms_of('text')}) AS token FROM documents)
+WHERE list_contains({sql_list(["C", "c", "N", "n", "O", "o", "S", "s", "P", "p", "F", "I", "B", "K", *TWO_LETTER_ATOMS])}, token)
+GROUP BY doc_id, token"""
+
 # --- joins ------------------------------------------------------------------
 
 ORACLES["subtract_by_id"] = "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
@@ -271,6 +276,14 @@ ORACLES["containment_filter"] = f"""WITH {contained(grams(), grams())}
 SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)"""
 ORACLES["containment_generic"] = f"""WITH {contained(COARSE, COARSE)}
 SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)"""
+_GENERIC = f"""list_transform(list_filter({atoms_of('text')}, lambda x: x NOT IN ('-', '=', '#', '/', chr(92), ':')),
+  lambda x: CASE WHEN list_contains({sql_list(["C", "c", "N", "n", "O", "o", "S", "s", "P", "p", "F", "I", "B", "K", *TWO_LETTER_ATOMS])}, x) THEN 'C' ELSE x END)"""
+ORACLES["containment_generic_tokens"] = f"""
+WITH dw AS (SELECT doc_id, {_GENERIC} AS words FROM documents), s AS (SELECT doc_id, {grams(q=6)} AS g FROM dw),
+bw AS (SELECT item_id, {_GENERIC} AS words FROM benchmark), b AS (SELECT item_id, {grams(q=6)} AS g FROM bw),
+se AS (SELECT doc_id, unnest(g) AS gram FROM s), be AS (SELECT item_id, unnest(g) AS gram, len(g) AS n FROM b),
+hit AS (SELECT doc_id, item_id FROM se JOIN be USING (gram) GROUP BY 1, 2 HAVING count(*) = any_value(n))
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)"""
 ORACLES["one_fragment_score"] = f"""WITH {contained(grams(), grams())}
 SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM hit WHERE item_id = 0) THEN 1 ELSE -1 END::INT AS score FROM documents"""
 ORACLES["fragment_score"] = f"""WITH {contained(grams(), grams())},

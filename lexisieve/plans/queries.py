@@ -130,12 +130,12 @@ def sdf_scan(spark, sf):
     path = scratch(spark, "sdf")
     record = F.concat(
         F.col("doc_id").cast("string"), F.lit("\n  made\n\n  0  0\nM  END\n> <LANG>\n"), F.col("lang"),
-        F.lit("\n\n> <SMILES>\n"), F.translate("text", "\r\n", "__"), F.lit("\n\n$$$$"))
+        F.lit("\n\n> <SMILES>\n"), writers.escape_lines(F.col("text")), F.lit("\n\n$$$$"))
     mixed = F.when(F.col("doc_id") % 2 == 0, F.concat(F.replace(record, F.lit("\n"), F.lit("\r\n")), F.lit("\r"))).otherwise(record)
     documents(spark, sf).select(mixed.alias("value")).write.text(path)
     read = readers.read_structures(spark, path)
     return read.select(F.col("ID").cast("long").alias("id"), F.col("items")["LANG"].alias("lang"),
-                       F.col("SMILES").alias("body"), F.trim("counts").alias("counts"))
+                       readers.unescape_lines(F.col("SMILES")).alias("body"), F.trim("counts").alias("counts"))
 
 
 @query
@@ -323,7 +323,7 @@ def encode_pad(spark, sf):
 
 @query
 def decode_roundtrip(spark, sf):
-    back = _passing(spark, sf).select("ID", "SMILES", TK.encode(F.col("tokens"), 200, PLAIN_IDS).alias("e")).select(
+    back = _passing(spark, sf).select("ID", "SMILES", TK.encode_whole(F.col("tokens"), PLAIN_IDS).alias("e")).select(
         "ID", "SMILES", TK.decode(F.col("e"), PLAIN_IDS).alias("decoded"))
     return back.select("ID", "decoded", (F.col("decoded") == F.col("SMILES")).alias("whole"))
 
@@ -384,6 +384,13 @@ def token_descriptors(spark, sf):
     return tokens.select("ID", *[c.cast("long").alias(n) for n, c in columns.items()])
 
 
+@query
+def element_counts(spark, sf):
+    tokens = cleaning.add_tokens(notation(spark, sf), "SMILES").select("ID", "tokens")
+    return tokens.select("ID", F.explode(X.element_counts(F.col("tokens"))).alias("c")).select(
+        "ID", "c.element", F.col("c.n").cast("long").alias("n"))
+
+
 # --- joins ------------------------------------------------------------------
 
 @query
@@ -446,6 +453,17 @@ def containment_generic(spark, sf):
     return containment.remove_containing(docs, bench, "doc_id", "coarse").select("doc_id")
 
 
+@query
+def containment_generic_tokens(spark, sf):
+    """Atoms are one symbol and bonds are left out: windows of six such tokens."""
+    def coarse(df: DataFrame, id_col: str) -> DataFrame:
+        tokens = evaluate_once(df.select(id_col, "text"), generic=X.generic_tokens(TK.atom_tokens(F.col("text"))))
+        return materialize(tokens.select(id_col, FP.gram_set(F.col("generic"), 6).alias("coarse")))
+
+    docs, bench = coarse(documents(spark, sf), "doc_id"), coarse(table(spark, sf, "benchmark"), "item_id")
+    return containment.remove_containing(docs, bench, "doc_id", "coarse").select("doc_id")
+
+
 @query
 def fragment_score(spark, sf):
     docs = word_sets(documents(spark, sf), "doc_id")

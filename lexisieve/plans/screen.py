@@ -3,7 +3,7 @@ containment tests, in order of cost."""
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexisieve.operators.containment import containment_pairs
 from lexisieve.operators.rules import nan_to_null, rule_to_sql, rounded
 from lexisieve.operators.similarity import known_set_keys, with_set_key
-from lexisieve.session import broadcast_if_bounded, materialize, small_side
+from lexisieve.session import concurrently, materialize, small_side
 
 # The stages, in order.
 STAGES = ("property", "hard", "soft", "atom", "graph")
@@ -24,8 +24,8 @@ def tag_cascade(df: DataFrame, known: DataFrame, fragments: DataFrame, rule: str
     """``df`` with ``dropped_at``: the stage that removed the row, null for rows
     that survive all five.
 
-    The feature table is written once and every stage reads only the columns it
-    needs and only the rows that are still alive.
+    The feature table is written once. The stages behind the rule look at all rows that pass it, side by side, each
+    reading only the columns it needs; a row is tagged with the first stage that it fails, in one aggregation.
     """
     needed = required or []
     features = nan_to_null(df)
@@ -33,23 +33,24 @@ def tag_cascade(df: DataFrame, known: DataFrame, fragments: DataFrame, rule: str
     complete = reduce(lambda a, c: a & F.col(c).isNotNull(), needed, F.lit(True))
     features = materialize(features.withColumn(
         "__ok", complete & F.coalesce(F.expr(rule_to_sql(rule)), F.lit(False))))
-    hits = []
     alive = features.where("__ok")
-    for stage in STAGES[1:]:
-        if stage in ("hard", "soft"):
-            keys = known_set_keys(alive, known, id_col, set_col,
-                                  threshold="==1" if stage == "hard" else soft)
-            found = with_set_key(alive, set_col).join(small_side(keys), "__set", "left_semi").select(id_col)
-        else:
-            column = scaffold_col if stage == "atom" else generic_col
-            found = containment_pairs(alive, fragments, id_col, column).select(
-                F.col("id").alias(id_col)).distinct()
-        found = materialize(found.select(id_col, F.lit(stage).alias("dropped_at")))
-        hits.append(found)
-        alive = alive.join(broadcast_if_bounded(found.select(id_col)), id_col, "left_anti")
-    tags = broadcast_if_bounded(reduce(DataFrame.unionByName, hits))
-    return features.join(tags, id_col, "left").withColumn(
-        "dropped_at", F.when(~F.col("__ok"), "property").otherwise(F.col("dropped_at"))).drop("__ok")
+
+    def near(threshold: str) -> DataFrame:
+        keys = known_set_keys(alive, known, id_col, set_col, threshold=threshold)
+        return with_set_key(alive, set_col).join(small_side(keys), "__set", "left_semi").select(id_col)
+
+    def containing(column: str) -> DataFrame:
+        return containment_pairs(alive, fragments, id_col, column).select(F.col("id").alias(id_col)).distinct()
+
+    tests = {"hard": partial(near, "==1"), "soft": partial(near, soft),
+             "atom": partial(containing, scaffold_col), "graph": partial(containing, generic_col)}
+    hits = concurrently([lambda s=stage, t=test: materialize(t().select(id_col, F.lit(STAGES.index(s)).alias("__stage")))
+                         for stage, test in tests.items()], len(tests))
+    first = reduce(DataFrame.unionByName, hits).groupBy(id_col).agg(F.min("__stage").alias("__stage"))
+    tagged = features.join(small_side(first), id_col, "left")
+    names = F.array(*map(F.lit, STAGES))
+    return tagged.withColumn("dropped_at", F.when(~F.col("__ok"), STAGES[0]).otherwise(F.get(names, F.col("__stage")))).drop(
+        "__ok", "__stage")
 
 
 def rows_after(tagged: DataFrame, stage: str = "soft") -> DataFrame:

@@ -3,10 +3,12 @@ materialising a table and choosing a broadcast by measured size."""
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,21 +34,21 @@ def build_session(app: str = "lexisieve", master: str | None = None, **conf) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session may fall back to a temporary folder; a cluster has to
-    name storage that every executor can reach.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="lexisieve-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session, or else the context's checkpoint
+    directory. It has to be storage that every executor reaches."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir, when the session is built, to a folder shared by all executors")
     return folder
 
 
+def concurrently(tasks: Sequence[Callable[[], Any]], parallelism: int) -> list:
+    """Results of functions without arguments, in order, run by a bounded pool of driver threads. Each starts its own
+    Spark jobs, so that small jobs share the cluster."""
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(lambda task: task()), tasks, chunksize=1)
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
