@@ -7,7 +7,9 @@ above a threshold cluster into content. The content container is the smallest
 element that holds the clustered text, or the outermost article and main
 elements; all of its lines are kept, so no heading or short paragraph is lost.
 Parts marked as menus, notices, adverts and the like are left out, unless the
-marked element is what the content stands in.
+marked element is what the content stands in. Ids mark containers only, and where
+a word of an article may as well name its subject ("related-work"), the mark holds
+only if much of the part's text is links.
 """
 
 from __future__ import annotations
@@ -46,6 +48,10 @@ _MARKED = frozenset(
     "consent gdpr notice alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer comment comments "
     "disqus respond share sharing social related recommended newsletter subscribe subscription signup login popup modal "
     "overlay widget toolbar pagination pager copyright legal skip".split())
+#: Of these, words that also name subjects: as a part of a name, or on a paragraph or heading, they do not decide alone.
+_AMBIGUOUS = frozenset("alert banner copyright legal login menu notice promotion related share sharing skip social toolbar widget".split())
+#: Share of link text from which such a mark holds.
+_LINKED = 0.3
 _MARKED_OUTSIDE = frozenset(("header", "masthead", "topbar", "logo"))
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "form"))
 _TOKENS = re.compile(r"[a-z0-9]+")
@@ -57,17 +63,20 @@ class Line:
     text: str
     tags: int
     element: int
+    linked: int = 0
 
 
 @dataclass
 class Element:
-    """``mark``: 0 for none, 1 for a dashed part of a class or id, 2 for a whole one. ``region``: the outermost
+    """``mark``: 0 for none, 1 for a dashed part of a class or id, 2 for a whole one; ``soft`` if links have to confirm
+    it. ``region``: the outermost
     article or main element that it stands in or is, 0 for none."""
 
     tag: str
     parent: int
     mark: int = 0
     region: int = 0
+    soft: bool = False
 
 
 class _Lines(HTMLParser):
@@ -78,6 +87,9 @@ class _Lines(HTMLParser):
         self.lines: list[Line] = []
         self.elements = [Element("", -1)]
         self.open: list[tuple[str, bool, int]] = []  # tag, left out, element
+        self.blocks: list[int] = []  # places in ``open`` of what is not inline
+        self.places: dict[str, list[int]] = {}  # places in ``open`` by tag
+        self.linked = 0
         self.parts: list[str] = []
         self.tags = 0
 
@@ -87,14 +99,18 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, self.tags, self._state()[1]))
+            self.lines.append(Line(text, self.tags, self._state()[1], self.linked))
             self.tags = 0
-        self.parts = []
+        self.parts, self.linked = [], 0
 
     def _pop(self, at: int) -> None:
-        if any(tag not in _INLINE for tag, *_ in self.open[at:]):
+        if self.blocks and self.blocks[-1] >= at:
             self.flush()
+        for tag, *_ in self.open[at:]:
+            self.places[tag].pop()
         del self.open[at:]
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
 
     def _leave_out(self, tag: str, attrs: dict, region: int) -> bool:
         if tag in _NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true":
@@ -105,14 +121,19 @@ class _Lines(HTMLParser):
             return True
         return False
 
-    def _mark(self, tag: str, attrs: dict, region: int) -> int:
+    def _mark(self, tag: str, attrs: dict, region: int) -> tuple[int, bool]:
+        """The mark, and whether it is soft."""
         if tag in ("html", "body", "main"):
-            return 0
-        named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
+            return 0, False
+        named = (attrs.get("class") or "").lower()
+        if tag not in _INLINE and tag not in _RUNNING:
+            named += f" {attrs.get('id') or ''}".lower()
         marks = _MARKED if region else _MARKED | _MARKED_OUTSIDE
-        if marks.isdisjoint(_TOKENS.findall(named)):
-            return 0
-        return 1 if marks.isdisjoint(named.split()) else 2
+        found = marks.intersection(_TOKENS.findall(named))
+        if not found:
+            return 0, False
+        mark = 1 if marks.isdisjoint(named.split()) else 2
+        return mark, region > 0 and found <= _AMBIGUOUS and (mark == 1 or tag in _RUNNING)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -122,26 +143,24 @@ class _Lines(HTMLParser):
         if tag in _VOID:
             return
         ends = {"p"} if tag in _ENDS_P else _SAME_ENDS.get(tag, ())
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] in ends:
-                self._pop(at)
-                break
-            if self.open[at][0] not in _INLINE:
-                break
+        if self.blocks and self.open[self.blocks[-1]][0] in ends:
+            self._pop(self.blocks[-1])
         if tag not in _INLINE:
             self.flush()
         out, element = self._state()
-        region, mark = self.elements[element].region, 0
+        region, mark, soft = self.elements[element].region, 0, False
         if attrs or tag in _NEVER or tag == "header":
             out = out or self._leave_out(tag, dict(attrs), region)
-            mark = self._mark(tag, dict(attrs), region)
+            mark, soft = self._mark(tag, dict(attrs), region)
         if tag in _INLINE:
-            out = out or mark > 0
+            out = out or (mark > 0 and not soft)
         else:
-            self.elements.append(Element(tag, element, mark, region))
+            self.blocks.append(len(self.open))
+            self.elements.append(Element(tag, element, mark, region, soft))
             element = len(self.elements) - 1
             if not region and (tag in _REGION or ("role", "main") in attrs):
                 self.elements[element].region = element
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, out, element))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -151,16 +170,15 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self._pop(at)
-                return
-            if tag in _INLINE and self.open[at][0] not in _INLINE:
-                return
+        places = self.places.get(tag)
+        if places and not (tag in _INLINE and self.blocks and self.blocks[-1] > places[-1]):
+            self._pop(places[-1])
 
     def handle_data(self, data: str) -> None:
         if not self._state()[0]:
             self.parts.append(data)
+            if self.places.get("a"):
+                self.linked += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -178,6 +196,21 @@ def _content(lines: list[Line], sigma: float, strength: float) -> np.ndarray:
     return smooth >= strength * float((smooth * size).sum() / size.sum())
 
 
+def _confirm_marks(lines: list[Line], elements: list[Element]) -> None:
+    """Soft marks stay where links hold ``_LINKED`` of the element's text."""
+    if not any(e.soft for e in elements):
+        return
+    text, linked = [0] * len(elements), [0] * len(elements)
+    for line in lines:
+        text[line.element] += len(line.text)
+        linked[line.element] += line.linked
+    for k in range(len(elements) - 1, 0, -1):  # a parent comes before its children
+        text[elements[k].parent] += text[k]
+        linked[elements[k].parent] += linked[k]
+        if elements[k].soft and linked[k] < _LINKED * text[k]:
+            elements[k].mark = 0
+
+
 def _unmarked(lines: list[Line], elements: list[Element], content: np.ndarray) -> list[Line]:
     """The lines outside of marked elements. The mark of an element that the content stands in does not count:
     one that holds more of the content, without its own marked parts, than the page outside of it; if a
@@ -209,7 +242,7 @@ def _unmarked(lines: list[Line], elements: list[Element], content: np.ndarray) -
     for line in lines:
         tags += line.tags
         if not above[line.element]:
-            kept.append(Line(line.text, tags, line.element))
+            kept.append(Line(line.text, tags, line.element, line.linked))
             tags = 0
     return kept
 
@@ -243,6 +276,7 @@ def main_text(html: str | None, sigma: float = 1.0, strength: float = 0.5) -> st
     lines, elements = parser.lines, parser.elements
     if not lines:
         return ""
+    _confirm_marks(lines, elements)
     lines = _unmarked(lines, elements, _content(lines, sigma, strength))
     if not lines:
         return ""
