@@ -187,44 +187,56 @@ def _shingle_sets(texts: DataFrame, members: DataFrame, width: int) -> DataFrame
     return used.mapInPandas(run, "id long, shingles binary")
 
 
-def _cross_links(buckets: DataFrame, marks: DataFrame, sets: DataFrame, limit: int, percent: int) -> DataFrame:
+def _near_in_block(group: pd.DataFrame, limit: int, percent: int) -> list[tuple[int, int, int]]:
+    """Pairs of rows of one group (differing bits, row, row) that the sketches leave, that are in different components,
+    and whose first common bucket this is."""
+    key, i, j = (group[c].iloc[0] for c in ("key", "i", "j"))
+    component, n, block = group["component"].to_numpy(), group["n"].to_numpy(), group["block"].to_numpy()
+    bits = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group), -1)
+    keys = np.stack(group["keys"].to_list())
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    found = []
+    for k in left:
+        apart = np.bitwise_count(bits[k] ^ bits[right]).sum(axis=1)
+        near = (apart <= limit) & (component[right] != component[k])
+        near &= 100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k])
+        if i == j:
+            near &= right > k
+        other = right[near]
+        shared = keys[other] == keys[k]
+        first = shared[np.arange(len(other)), shared.argmax(axis=1)] & (keys[k][shared.argmax(axis=1)] == key)
+        found += zip(apart[near][first].tolist(), [k] * int(first.sum()), other[first].tolist())
+    return found
+
+
+def _cross_links(buckets: DataFrame, marks: DataFrame, texts: DataFrame, width: int, limit: int, percent: int) -> DataFrame:
     """Links between different components of one bucket, enough of them to join what belongs together.
 
     ``buckets`` has the buckets (key, id, component) that hold several components.
     Members are numbered into blocks by hash; each pair of blocks is one group,
-    compared as a matrix of sketches. What the sketches leave is confirmed on
-    the full sets there and then, most similar pairs first; pairs that are
-    already joined are passed over, so a group gives fewer links than it has
+    compared as a matrix of sketches. Only members of pairs that the sketches leave
+    get their full sets, and meet in the same groups again, most similar pairs first;
+    pairs that are already joined are passed over, so a group gives fewer links than it has
     rows. A pair is looked at in the first bucket that it shares.
     """
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     placed = (buckets.join(sizes, "key").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
               .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-              .join(marks.select("id", "sketch", "keys"), "id").join(sets, "id"))
+              .join(marks.select("id", "n", "sketch", "keys"), "id"))
     # a block takes part in the pairs (i, j), i <= j, that hold it
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component",
-        "sketch", "keys", "shingles")
+        "n", "sketch", "keys")
+
+    def left_over(group: pd.DataFrame) -> pd.DataFrame:
+        rows = {r for _, k, m in _near_in_block(group, limit, percent) for r in (k, m)}
+        return group.iloc[sorted(rows)]
+
+    needed = materialize(dealt.groupBy("key", "i", "j").applyInPandas(left_over, dealt.schema))
+    sets = materialize(_shingle_sets(texts, needed, width))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        key, i, j = (group[c].iloc[0] for c in ("key", "i", "j"))
         ids, component = group["id"].to_numpy(), group["component"].to_numpy()
-        bits = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group), -1)
-        keys = np.stack(group["keys"].to_list())
-        n = np.array([len(x) // 8 for x in group["shingles"]])
-        block = group["block"].to_numpy()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found = []
-        for k in left:
-            apart = np.bitwise_count(bits[k] ^ bits[right]).sum(axis=1)
-            near = (apart <= limit) & (component[right] != component[k])
-            near &= 100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k])
-            if i == j:
-                near &= right > k
-            other = right[near]
-            shared = keys[other] == keys[k]
-            first = shared[np.arange(len(other)), shared.argmax(axis=1)] & (keys[k][shared.argmax(axis=1)] == key)
-            found += zip(apart[near][first].tolist(), [k] * int(first.sum()), other[first].tolist())
         root = {c: c for c in component.tolist()}
 
         def find(c: int) -> int:
@@ -233,7 +245,7 @@ def _cross_links(buckets: DataFrame, marks: DataFrame, sets: DataFrame, limit: i
             return c
 
         links = []
-        for _, k, m in sorted(found):
+        for _, k, m in sorted(_near_in_block(group, limit, percent)):
             a, b = find(int(component[k])), find(int(component[m]))
             if a == b:
                 continue
@@ -244,7 +256,7 @@ def _cross_links(buckets: DataFrame, marks: DataFrame, sets: DataFrame, limit: i
                 links.append((max(ids[k], ids[m]), min(ids[k], ids[m])))
         return pd.DataFrame(links, columns=["l", "r"], dtype="int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "l long, r long")
+    return needed.join(sets, "id").groupBy("key", "i", "j").applyInPandas(compare, "l long, r long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -297,8 +309,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     named = buckets.join(component, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
     apart = materialize(named.join(mixed.select("key"), "key", "left_semi"))
-    sets = materialize(_shingle_sets(given, apart, width))
-    component = connected(links.unionByName(_cross_links(apart, marks, sets, limit, percent)))
+    component = connected(links.unionByName(_cross_links(apart, marks, given, width, limit, percent)))
     return signed, classes, component
 
 
