@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
 from pyspark.ml.feature import PCA, StandardScaler, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -186,16 +186,36 @@ def score_rank(df: DataFrame, model: PipelineModel | str, id_col: str, keep: Seq
     return global_rank(scored, [F.col(out).desc(), F.col(id_col)], "rank", start=1, unique=True)
 
 
+class _GroupedRMSE(Evaluator):
+    """Root mean squared error of all rows, from groups of them: ``weight`` rows with mean ``label`` and the sum
+    ``within`` of their squared deviations from it."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        error = F.col("label") - F.col("prediction")
+        return math.sqrt(dataset.agg(
+            F.sum(F.col("weight") * error * error + F.col("within")) / F.sum("weight")).first()[0])
+
+    def isLargerBetter(self) -> bool:  # noqa: N802
+        return False
+
+
 def boosted_regression(df: DataFrame, features: Sequence[str], label: str, id_cols: Sequence[str],
                        folds: int = 3, seed: int = 0, depths: Sequence[int] = (3, 5), max_iter: int = 50) -> DataFrame:
-    """Cross-validated RMSE of boosted trees per depth: ``max_depth, rmse``."""
-    assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(
-        df.select(F.xxhash64(*id_cols).alias("__id"), *features, F.col(label).cast("double").alias("label")))
-    data = compact(materialize(kfold(assembled.select("__id", "features", "label"), "__id", folds, seed)))
-    estimator = GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, seed=seed)
+    """Cross-validated RMSE of boosted trees per depth: ``max_depth, rmse``.
+
+    Trees of squared errors see only the number and the mean label of rows that agree in all features, so the rows of
+    a fold that do are one row with a weight; the spread inside such a group is added to the error again.
+    """
+    rows = df.select(F.xxhash64(*id_cols).alias("__id"), *features, F.col(label).cast("double").alias("label"))
+    grouped = kfold(rows, "__id", folds, seed).groupBy("fold", *features).agg(
+        F.count("label").cast("double").alias("weight"), F.avg("label").alias("__mean"),
+        F.coalesce(F.var_pop("label") * F.count("label"), F.lit(0.0)).alias("within")).withColumnRenamed("__mean", "label")
+    data = compact(materialize(VectorAssembler(inputCols=list(features), outputCol="features").transform(grouped).select(
+        "fold", "features", "label", "weight", "within")))
+    estimator = GBTRegressor(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter, seed=seed)
     grid = ParamGridBuilder().addGrid(estimator.maxDepth, list(depths)).build()
     model = CrossValidator(estimator=estimator, estimatorParamMaps=grid, numFolds=folds, foldCol="fold",
-                           evaluator=RegressionEvaluator(metricName="rmse"), parallelism=2).fit(data)
+                           evaluator=_GroupedRMSE(), parallelism=2).fit(data)
     return df.sparkSession.createDataFrame(
         [(int(d), float(m)) for d, m in zip(depths, model.avgMetrics)], "max_depth int, rmse double")
 
@@ -251,7 +271,7 @@ def assign_cells(train: DataFrame, rows: DataFrame, vec_col: str, seed: int = 0,
 
 def gmm_columns(df: DataFrame, columns: Sequence[str], id_cols: Sequence[str], components: int = 10,
                 seed: int = 0, max_iter: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Gaussian mixture per column over its non-missing rows.
+    """Gaussian mixture per column over its non-missing rows. EM sees equal values as one row with a weight.
 
     Returns rows with ``<column>_component`` (-1 for missing) and a table of
     ``column, component, weight, mean, log_std``.
@@ -260,9 +280,11 @@ def gmm_columns(df: DataFrame, columns: Sequence[str], id_cols: Sequence[str], c
     for c in columns:
         present = F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
         vector = array_to_vector(F.array(F.coalesce(F.when(present, F.col(c).cast("double")), F.lit(0.0))))
-        fitted = GaussianMixture(k=components, seed=seed, maxIter=max_iter, tol=1e-3, featuresCol="__v",
+        counted = compact(materialize(df.where(present).groupBy(F.col(c).cast("double").alias(c)).agg(
+            F.count(F.lit(1)).cast("double").alias("__n"))))
+        fitted = GaussianMixture(k=components, seed=seed, maxIter=max_iter, tol=1e-3, featuresCol="__v", weightCol="__n",
                                  predictionCol="__c", probabilityCol="__p").fit(
-            df.where(present).select(vector.alias("__v")))
+            counted.select(vector.alias("__v"), "__n"))
         for i, (weight, g) in enumerate(zip(fitted.weights, fitted.gaussians)):
             variance = float(g.cov.toArray()[0, 0])
             params.append((c, i, float(weight), float(g.mean[0]), 0.5 * math.log(variance + 1e-15)))

@@ -106,3 +106,20 @@ def test_caller_functions(spark):
     assert apply.map_partitions(spark.range(5), double, "id long", by=3).agg(F.sum("id")).first()[0] == 30
     scored = apply.add_score(spark.createDataFrame([("a",), ("b",)], "s string"), lambda: lambda v: v.map({"a": 1.0}), "s")
     assert {r.s: r.score for r in scored.collect()} == {"a": 1.0, "b": -1.0}
+
+
+def test_boosting_and_mixtures_see_equal_rows_once(spark, monkeypatch):
+    """Rows that agree are fitted as one with a weight; the error is still that of all rows."""
+    df = spark.range(600).select("id", (F.col("id") % 5).alias("x"), (F.col("id") % 5 * 2.0 + F.col("id") % 2).alias("y"))
+    seen = []
+    for kind in (models.GBTRegressor, models.GaussianMixture):
+        monkeypatch.setattr(kind, "_fit", lambda self, data, fit=kind._fit: (seen.append(data.count()), fit(self, data))[1])
+    rmse = models.boosted_regression(df, ["x"], "y", ["id"], depths=(3,), max_iter=3).first().rmse
+    assert seen and max(seen) <= 15
+    assert abs(rmse - 0.5) < 0.02  # y's noise, which no tree can know
+    seen.clear()
+    rows, table = models.gmm_columns(df.withColumn("y", F.col("id") % 4 * 10.0), ["y"], ["id"], components=2)
+    assert seen == [4] and rows.count() == 600
+    assert abs(sum(r.weight for r in table.collect()) - 1) < 1e-6
+    centre = sum(r.weight * r["mean"] for r in table.collect())
+    assert abs(centre - 15) < 1e-3
