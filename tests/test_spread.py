@@ -33,3 +33,21 @@ def test_element_counts_equal_a_count_per_symbol_in_one_pass(spark):
         assert [(c.element, c.n) for c in r.c or []] == want
     passes = str(counts._jc.toString()) if hasattr(counts, "_jc") else ""
     assert passes.count("filter(t,") <= 1  # there was one per symbol
+
+
+def test_rows_are_encoded_without_token_texts_in_the_join_of_rows(spark):
+    rows = [(0, ["b", "a", "b", "?"]), (1, []), (2, None), (3, ["?", None, "a"])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, id long")
+    out = TK.encode_by_join(df, "id", "tokens", vocab, {TK.BOS: 0, TK.EOS: 1, TK.PAD: 2, TK.UNK: 3})
+    assert {r.id: r.ids for r in out.collect()} == {0: [0, 5, 4, 5, 3, 1], 1: [0, 1], 2: [0, 1], 3: [0, 3, 3, 4, 1]}
+
+    def joins(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            yield from (c.schema().simpleString() for c in children)
+        for c in children:
+            yield from joins(c)
+
+    inputs = list(joins(out._jdf.queryExecution().optimizedPlan()))
+    assert inputs and not any("array<string>" in i for i in inputs)
