@@ -54,7 +54,8 @@ def _nearest(x: np.ndarray, codebook: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _vectors(df: DataFrame, vec_col: str) -> DataFrame:
     v = F.col(vec_col).cast("array<double>")
-    return df.where(F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))).select("*", v.alias("__v"))
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where(F.coalesce(finite & (F.size(v) > 0), F.lit(False))).select("*", v.alias("__v"))
 
 
 def _smooth(sums: np.ndarray, side: int, sigma: float) -> np.ndarray:
@@ -72,7 +73,8 @@ def grid_side(n: int) -> int:
 
 def train_map(df: DataFrame, vec_col: str, side: int | None = None, rounds: int = 10, seed: int = 0,
               last_sigma: float = 0.5) -> SelfOrganisingMap:
-    """A map of the vectors. Null vectors and vectors with nulls or NaN take no part; all others have one length.
+    """A map of the vectors. Null and empty vectors and vectors with nulls, NaN or infinite components take no part;
+    all others have one length.
 
     The codebook starts as that of vectors picked by hash; sigma falls by equal factors from half the side to
     ``last_sigma``.
@@ -124,7 +126,7 @@ def assign_nodes(df: DataFrame, som: SelfOrganisingMap, vec_col: str, out: str =
     @F.pandas_udf("int")
     def node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for col in batches:
-            whole = col.map(lambda v: v is not None and not np.isnan(np.asarray(v, np.float64)).any()).to_numpy(bool)
+            whole = col.map(lambda v: v is not None and len(v) > 0 and np.isfinite(np.asarray(v, np.float64)).all()).to_numpy(bool)
             result = pd.Series([None] * len(col), dtype="Int32")
             if whole.any():
                 result[whole] = _nearest(np.stack(col[whole].to_numpy()).astype(np.float64), codebook)[0]

@@ -89,3 +89,12 @@ def test_graph_coordinates_are_eigenvectors(spark):
     np.testing.assert_allclose(np.sqrt(d) @ xy, 0, atol=1e-9)
     np.testing.assert_allclose(np.linalg.norm(lazy @ xy[:, 0] - values[0] * xy[:, 0]), 0, atol=0.06)
     assert spectral.embed_graph(df, "vec", "id", "source", 6, rounds=3).columns == ["source", "id", "x", "y", "degree"]
+
+
+def test_empty_and_infinite_vectors_take_no_part_in_a_map(spark):
+    df, _ = blobs(spark, 5, 10)
+    odd = spark.createDataFrame([(900, [], 0), (901, [float("inf")] * 4, 0), (902, [0.0, float("-inf"), 0.0, 0.0], 0)], df.schema)
+    trained = som.train_map(df.union(odd), "vec", side=3, rounds=2)
+    assert np.isfinite(trained.codebook).all()
+    cells = {r.id: r.cell for r in som.assign_nodes(df.union(odd), trained, "vec").collect()}
+    assert all((c is None) == (i >= 900) for i, c in cells.items())
