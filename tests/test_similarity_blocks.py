@@ -88,3 +88,35 @@ def test_groups_of_a_hot_key_are_small(spark, monkeypatch):
 def test_fraction_ties_go_to_the_lowest_id(spark):
     found = similarity.best_match(sets(spark, [{1, 2, 3}]), sets(spark, [{4}, {3, 4}, {1, 9}, {2, 7}]), "id", "bits", ">0").collect()
     assert [(r.right_rep, r.tanimoto) for r in found] == [(1, float(Fraction(1, 4)))]
+
+
+def test_no_list_of_pairs_carries_elements(spark):
+    left, right = families(1, 40, 10 ** 6, 10, 60, 0.1), families(1, 40, 10 ** 6, 10, 60, 0.1)
+    a, b = sets(spark, left), sets(spark, right)
+    for made in (similarity.similarity_pairs(a, b, "id", "bits", ">=0.8"), similarity.similarity_pairs(a, b, "id", "bits", ">=0.01"),
+                 similarity.best_match(a, b, "id", "bits", ">=0.01"), similarity.known_set_keys(a, b, "id", "bits")):
+        assert "array_intersect" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_elements_of_the_same_sets_are_one_class(spark):
+    left, right = [set(range(50)) | {90}, set(range(50)), {70}], [set(range(50)) | {91}, {90, 92}]
+    a, b = (similarity.distinct_sets(sets(spark, s), "id", "bits") for s in (left, right))
+    lists = {(r.side, r.rep): (r.n, sorted(r.weights)) for r in similarity._class_lists(a, b, Fraction(0)).collect()}
+    assert lists == {(0, 0): (51, [1, 50]), (0, 1): (50, [50]), (1, 0): (51, [50]), (1, 1): (2, [1])}
+
+
+@pytest.mark.parametrize("threshold", [Fraction(3, 4), Fraction(17, 20)])
+def test_only_sets_without_a_match_leave_early(spark, threshold):
+    left, right = families(1, 150, 10 ** 9, 1, 80, 0.15), families(1, 90, 10 ** 9, 1, 80, 0.15)
+    left = left[:-1] + families(9, 150, 10 ** 9, 1, 80, 0.15)
+    sides = [similarity.distinct_sets(sets(spark, s), "id", "bits") for s in (left, right)]
+    a, b = ({r.rep for r in side.collect()} for side in similarity._possible(*sides, threshold))
+    want = {i for i, s in enumerate(left) if s and left.index(s) == i and any(t and brute(s, t) >= threshold for t in right)}
+    assert want <= a and len(a) < 200
+    assert {j for j, t in enumerate(right) if t and right.index(t) == j and any(s and brute(s, t) >= threshold for s in left)} <= b
+
+
+def test_repeated_ids_keep_one_row_per_set(spark):
+    df = spark.createDataFrame([(1, [1, 2]), (1, [1, 2]), (1, [3]), (0, [3])], "id long, bits array<long>")
+    rows = similarity.distinct_sets(df, "id", "bits").collect()
+    assert sorted((r.rep, r.bits, r.n, r.copies) for r in rows) == [(0, [3], 1, 2), (1, [1, 2], 2, 2)]
