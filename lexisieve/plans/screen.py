@@ -24,15 +24,14 @@ def tag_cascade(df: DataFrame, known: DataFrame, fragments: DataFrame, rule: str
     """``df`` with ``dropped_at``: the stage that removed the row, null for rows
     that survive all five.
 
-    The feature table is written once. The stages behind the rule look at all rows that pass it, side by side, each
+    ``df`` is read once per stage; it should be a written table. The stages behind the rule look at all rows that pass it, side by side, each
     reading only the columns it needs; a row is tagged with the first stage that it fails, in one aggregation.
     """
     needed = required or []
     features = nan_to_null(df)
     features = rounded(features, round_columns or [])
     complete = reduce(lambda a, c: a & F.col(c).isNotNull(), needed, F.lit(True))
-    features = materialize(features.withColumn(
-        "__ok", complete & F.coalesce(F.expr(rule_to_sql(rule)), F.lit(False))))
+    features = features.withColumn("__ok", complete & F.coalesce(F.expr(rule_to_sql(rule)), F.lit(False)))
     alive = features.where("__ok")
 
     def near(threshold: str) -> DataFrame:

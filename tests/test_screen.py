@@ -20,3 +20,16 @@ def test_stages_in_order(spark):
     assert {r.ID for r in screen.rows_after(tagged, "graph").collect()} == {"border", "kept"}
     rows = {r.stage: (r.n_dropped, r.n_remaining) for r in screen.funnel(tagged).collect()}
     assert rows == {"property": (2, 6), "hard": (1, 5), "soft": (1, 4), "atom": (1, 3), "graph": (1, 2)}
+
+
+def test_sets_are_not_written_again(spark, monkeypatch):
+    written = []
+    write = screen.materialize
+    monkeypatch.setattr(screen, "materialize", lambda df, *by: (written.append(df.columns), write(df, *by))[1])
+    df = spark.createDataFrame([(1, 300.0, [1, 2], [1], [1]), (2, 900.0, [3], [1], [1])],
+                               "ID int, MW double, bits array<int>, scaf array<int>, gen array<int>")
+    known = spark.createDataFrame([(9, [1, 2])], "ID int, bits array<int>")
+    frags = spark.createDataFrame([([7], [5])], "scaf array<int>, gen array<int>")
+    tagged = screen.tag_cascade(df, known, frags, "200<=MW & MW<=500", "ID", "bits", "scaf", "gen")
+    assert {r.ID: r.dropped_at for r in tagged.collect()} == {1: "hard", 2: "property"}
+    assert written and not any({"bits", "scaf", "gen"} & set(columns) for columns in written)
