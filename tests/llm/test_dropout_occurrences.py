@@ -37,3 +37,17 @@ def test_paths_forgotten_change_nothing(model, monkeypatch):
     monkeypatch.setattr(dropout, "TOGETHER", 50)
     assert dropout.MergeDropout(dropout.PIECE_BPE, 17, 0.1).encode(text, 9) == ids
     assert model.decode(np.frombuffer(ids, "<u2")) == text
+
+
+def test_agendas_run_side_by_side(model, monkeypatch):
+    """New words and words with skips need no agenda of their own; the ids are those of one agenda per part."""
+    parts = [f" {'wörter'[:k % 5]}{k * 7919:x}ing" for k in range(500)] + [" 汉字𝄞", "\n\n", "   ", " a▁b", " " + "y" * 70] * 3
+    bases = model.bases(11, len(parts))
+    alone = [model.part(p, b) for p, b in zip(parts, bases.tolist())]
+    calls = []
+    monkeypatch.setattr(dropout.MergeDropout, "_short", lambda *given: pytest.fail("an agenda of its own"))
+    monkeypatch.setattr(dropout.MergeDropout, "part", lambda self, part, base: calls.append(part) or self.long_part(part, base))
+    assert model._cut(parts, bases) == alone
+    assert len(calls) == 6
+    texts = ["".join(parts)[1:], None, "", "x"] * 3
+    assert list(model.encode_each(texts, list(range(12)))) == [model.encode(t, k) for k, t in enumerate(texts)]
