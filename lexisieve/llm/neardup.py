@@ -18,19 +18,17 @@ gives no more links than join its components.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisieve.llm.common import WORD, arrow_rows
+from lexisieve.llm.common import arrow_rows
 from lexisieve.llm.components import connected
-from lexisieve.session import default_partitions, materialize
+from lexisieve.session import broadcast_if_bounded, materialize
 
 ROWS, BANDS = 6, 36
 SAMPLES = ROWS * BANDS
@@ -40,7 +38,8 @@ LEADER_ROUNDS = 3
 #: Classes per block of the search inside a bucket.
 BLOCK = 512
 
-_WORDS = re.compile(WORD.encode())
+#: Bytes that part words.
+_PARTS_WORDS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _FOLD = bytes.maketrans(_UPPER, _LOWER)
@@ -53,27 +52,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words met by this worker; cleared when it grows large."""
+#: Random numbers by byte and place in a word, for the first places.
+_PLACES = 32
+_BYTES = _mix(np.arange(1, 256 * _PLACES + 1, dtype=np.uint64) * _MIX)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return value
 
-
-_HASHES = _WordHashes()
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words, A-Z lower-cased: a random number for every byte and its place, summed and mixed."""
+    data = np.frombuffer(text.encode().translate(_FOLD), np.uint8)
+    inside = np.concatenate(([False], ~_PARTS_WORDS[data], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    ends = lengths.cumsum()
+    place = np.arange(int(ends[-1])) - np.repeat(ends - lengths, lengths)
+    entry = place * 256 + data[inside[1:-1]]
+    if lengths.max() > _PLACES:
+        values = _mix((entry + 1).astype(np.uint64) * _MIX)
+    else:
+        values = _BYTES[entry]
+    return _mix(np.add.reduceat(values, ends - lengths))
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; of all words as one if there are fewer."""
-    words = _WORDS.findall((text or "").encode().translate(_FOLD))
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashed = _mix(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
-    width = min(width, len(words))
-    n = len(words) - width + 1
+    hashed = word_hashes(text or "")
+    if not len(hashed):
+        return hashed
+    width = min(width, len(hashed))
+    n = len(hashed) - width + 1
     out = np.full(n, width, np.uint64)
     for k in range(width):
         out = _mix(out * _MIX + hashed[k:k + n])
@@ -183,38 +191,59 @@ def _shingle_sets(texts: DataFrame, members: DataFrame, width: int) -> DataFrame
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "shingles": [shingle_set(t, width).tobytes() for t in frame["text"]]})
 
-    used = texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    return used.mapInPandas(run, "id long, shingles binary")
-
-
-def _near_in_block(group: pd.DataFrame, limit: int, percent: int) -> list[tuple[int, int, int]]:
-    """Pairs of rows of one group (differing bits, row, row) that the sketches leave, that are in different components,
-    and whose first common bucket this is."""
-    key, i, j = (group[c].iloc[0] for c in ("key", "i", "j"))
-    component, n, block = group["component"].to_numpy(), group["n"].to_numpy(), group["block"].to_numpy()
-    bits = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group), -1)
-    keys = np.stack(group["keys"].to_list())
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    found = []
-    for k in left:
-        apart = np.bitwise_count(bits[k] ^ bits[right]).sum(axis=1)
-        near = (apart <= limit) & (component[right] != component[k])
-        near &= 100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k])
-        if i == j:
-            near &= right > k
-        other = right[near]
-        shared = keys[other] == keys[k]
-        first = shared[np.arange(len(other)), shared.argmax(axis=1)] & (keys[k][shared.argmax(axis=1)] == key)
-        found += zip(apart[near][first].tolist(), [k] * int(first.sum()), other[first].tolist())
-    return found
+    # the ids alone are sent to the texts while they are few megabytes, so that not all texts are shuffled
+    ids = broadcast_if_bounded(materialize(members.select("id").distinct()))
+    return texts.join(ids, "id", "left_semi").mapInPandas(run, "id long, shingles binary").dropDuplicates(["id"])
+
+
+def _whole_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups (key, i, j) from frames that are sorted by them."""
+    held = None
+    for frame in frames:
+        held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        names = held[["key", "i", "j"]].to_numpy()
+        other = np.flatnonzero((names != names[-1:]).any(axis=1))
+        if len(other):
+            yield held.iloc[:other[-1] + 1]
+            held = held.iloc[other[-1] + 1:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
+def _near_in_groups(frame: pd.DataFrame, limit: int, percent: int) -> np.ndarray:
+    """Pairs of rows of one group that the sketches leave, that are in different components, and whose first common
+    bucket this is: columns group, differing bits, row, row, sorted. The rows are sorted by group and set size."""
+    names = frame[["key", "i", "j"]].to_numpy()
+    key, component, n, block = (frame[c].to_numpy() for c in ("key", "component", "n", "block"))
+    one_block = names[:, 1] == names[:, 2]
+    bits = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
+    keys = np.stack(frame["keys"].to_list())
+    first = np.concatenate(([True], (names[1:] != names[:-1]).any(axis=1)))
+    group = first.cumsum() - 1
+    ends = np.append(np.flatnonzero(first)[1:], len(frame))[group]
+    found, at, step = [], np.arange(len(frame)), 0
+    while True:
+        step += 1
+        at = at[at + step < ends[at]]
+        at = at[100 * n[at] >= percent * n[at + step]]  # sizes go up, so farther rows are too large as well
+        if not len(at):
+            break
+        k = at[(component[at] != component[at + step]) & (one_block[at] | (block[at] != block[at + step]))]
+        apart = np.bitwise_count(bits[k] ^ bits[k + step]).sum(axis=1, dtype=np.int64)
+        k, apart = k[apart <= limit], apart[apart <= limit]
+        shared = keys[k] == keys[k + step]
+        here = shared.any(axis=1) & (keys[k, shared.argmax(axis=1)] == key[k])
+        found.append(np.stack((group[k], apart, k, k + step), axis=1)[here])
+    pairs = np.concatenate([np.zeros((0, 4), np.int64), *found])
+    return pairs[np.lexsort(pairs.T[::-1])]
 
 
 def _cross_links(buckets: DataFrame, marks: DataFrame, texts: DataFrame, width: int, limit: int, percent: int) -> DataFrame:
     """Links between different components of one bucket, enough of them to join what belongs together.
 
     ``buckets`` has the buckets (key, id, component) that hold several components.
-    Members are numbered into blocks by hash; each pair of blocks is one group,
-    compared as a matrix of sketches. Only members of pairs that the sketches leave
+    Members are numbered into blocks by hash; each pair of blocks is one group. Groups lie sorted in their partitions,
+    and many small ones are compared at once. Only members of pairs that the sketches leave
     get their full sets, and meet in the same groups again, most similar pairs first;
     pairs that are already joined are passed over, so a group gives fewer links than it has
     rows. A pair is looked at in the first bucket that it shares.
@@ -228,35 +257,41 @@ def _cross_links(buckets: DataFrame, marks: DataFrame, texts: DataFrame, width:
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component",
         "n", "sketch", "keys")
 
-    def left_over(group: pd.DataFrame) -> pd.DataFrame:
-        rows = {r for _, k, m in _near_in_block(group, limit, percent) for r in (k, m)}
-        return group.iloc[sorted(rows)]
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "id")
+
+    def left_over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_groups(frames):
+            yield frame.iloc[np.unique(_near_in_groups(frame, limit, percent)[:, 2:])]
 
-    needed = materialize(dealt.groupBy("key", "i", "j").applyInPandas(left_over, dealt.schema))
+    needed = materialize(grouped(dealt).mapInPandas(left_over, dealt.schema))
     sets = materialize(_shingle_sets(texts, needed, width))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, component = group["id"].to_numpy(), group["component"].to_numpy()
-        root = {c: c for c in component.tolist()}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        links = []
-        for _, k, m in sorted(_near_in_block(group, limit, percent)):
-            a, b = find(int(component[k])), find(int(component[m]))
-            if a == b:
-                continue
-            x, y = (np.frombuffer(group["shingles"].iat[p], "<u8") for p in (k, m))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                root[a] = b
-                links.append((max(ids[k], ids[m]), min(ids[k], ids[m])))
-        return pd.DataFrame(links, columns=["l", "r"], dtype="int64")
-
-    return needed.join(sets, "id").groupBy("key", "i", "j").applyInPandas(compare, "l long, r long")
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _whole_groups(frames):
+            ids, component, shingles = frame["id"].tolist(), frame["component"].tolist(), frame["shingles"].tolist()
+            links, root, last = [], {}, None
+
+            def find(c: int) -> int:
+                while root.setdefault(c, c) != c:
+                    root[c] = c = root.setdefault(root[c], root[c])
+                return c
+
+            for group, _, k, m in _near_in_groups(frame, limit, percent).tolist():
+                if group != last:
+                    root.clear()
+                    last = group
+                a, b = find(component[k]), find(component[m])
+                if a == b:
+                    continue
+                x, y = (np.frombuffer(shingles[p], "<u8") for p in (k, m))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    root[a] = b
+                    links.append((max(ids[k], ids[m]), min(ids[k], ids[m])))
+            yield pd.DataFrame(links, columns=["l", "r"], dtype="int64")
+
+    return grouped(needed.join(sets, "id")).mapInPandas(compare, "l long, r long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
