@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexisieve.llm import divergence, neardup, packing, toxicity
-from lexisieve.llm.common import scratch, table
+from lexisieve.llm.common import arrow_rows, scratch, table
+from lexisieve.session import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens, one row per piece."""
-    return packing.pack_documents(docs)
+    """Sequences of at most 1024 tokens, one row per piece. A thousand texts at a time go to a worker."""
+    with arrow_rows(spark, 1_000):
+        return materialize(packing.pack_documents(docs))
 
 
 STAGES = [("toxicity", drop_toxic), ("quality rules", drop_low_quality), ("minhash near-dedup", drop_near_duplicates),

@@ -29,6 +29,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexisieve.llm.common import arrow_rows
 from lexisieve.session import materialize
 
 LEXICONS = 16
@@ -219,7 +220,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, columns: Sequence[str] | None = None) -> DataFrame:
-    """The rows of ``docs`` whose score is below ``threshold``, with their columns."""
+    """The rows of ``docs`` whose score is below ``threshold``, with their columns. They are written to the shared folder,
+    and a thousand texts at a time go to a worker."""
     names = list(columns or docs.columns)
     held = docs.select(F.struct(*names).alias("row"), F.col("text"))
-    return score(held, fit(docs, labels)).where(F.col("score") < threshold).select("row.*")
+    with arrow_rows(docs.sparkSession, 1_000):
+        return materialize(score(held, fit(docs, labels)).where(F.col("score") < threshold).select("row.*"))
