@@ -66,12 +66,22 @@ def _named(params: Mapping) -> str:
     return ",".join(f"{p.name}={v}" for p, v in sorted(params.items(), key=lambda kv: kv[0].name))
 
 
+class _SharedPipeline(Pipeline):
+    """A pipeline whose stages before the last are fitted once for all points of a grid, which differ in the last."""
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps: Sequence[Mapping]):  # noqa: N802, N803
+        *first, last = self.getStages()
+        shared = Pipeline(stages=first).fit(dataset)
+        fitted = last.fitMultiple(shared.transform(dataset), paramMaps)
+        return map(lambda pair: (pair[0], PipelineModel([*shared.stages, pair[1]])), fitted)
+
+
 def _pipeline(estimator, variance: float | None) -> Pipeline:
     if variance is None:
-        return Pipeline(stages=[estimator.copy({estimator.featuresCol: "features"})])
+        return _SharedPipeline(stages=[estimator.copy({estimator.featuresCol: "features"})])
     selector = VarianceThresholdSelector(
         featuresCol="features", outputCol="selected", varianceThreshold=variance)
-    return Pipeline(stages=[selector, estimator.copy({estimator.featuresCol: "selected"})])
+    return _SharedPipeline(stages=[selector, estimator.copy({estimator.featuresCol: "selected"})])
 
 
 def _training_table(df: DataFrame) -> DataFrame:
@@ -93,19 +103,24 @@ def train_select(df: DataFrame, folds: int = 3, seed: int = 123, names: Sequence
     on all rows and save it. ``df`` has ``id_col``, ``features``, ``label``.
 
     Returns the table ``model, params, auc`` and the fitted pipeline. Folds are
-    stratified and repeatable. Features with no variance are left out.
+    stratified and repeatable. Features with no variance are left out. Classifiers
+    are searched side by side, each ``parallelism`` points at a time.
     """
-    data = compact(materialize(stratified_folds(df, "label", id_col, folds, seed).withColumn(
-        "label", F.col("label").cast("double"))))
+    data = _training_table(stratified_folds(df, "label", id_col, folds, seed).select(
+        F.col("label").cast("double").alias("label"), "features", "fold"))
     evaluator = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction")
-    results, fitted = [], {}
-    for name, (estimator, values) in classifiers(seed).items():
-        if names is not None and name not in names:
-            continue
+
+    def search(name: str) -> tuple[str, list[dict], object]:
+        estimator, values = classifiers(seed)[name]
         grid = param_maps(estimator, values, draws, seed)
         cv = CrossValidator(estimator=_pipeline(estimator, variance), estimatorParamMaps=grid,
                             evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism)
-        model = cv.fit(data)
+        return name, grid, cv.fit(data)
+
+    results, fitted = [], {}
+    searched = [name for name in _SLOWEST_FIRST if name in classifiers(seed) and (names is None or name in names)]
+    at_once = max(2, _at_once(data, len(searched) * parallelism) // parallelism)
+    for name, grid, model in concurrently([partial(search, name) for name in searched], at_once):
         results += [(name, _named(p), float(a)) for p, a in zip(grid, model.avgMetrics)]
         fitted[name] = (max(model.avgMetrics), model.bestModel)
     best = max(fitted, key=lambda n: (fitted[n][0], n))

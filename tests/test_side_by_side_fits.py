@@ -5,6 +5,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from lexisieve.functions.fingerprint import add_sparse_vector
 from lexisieve.operators import models
 
 
@@ -30,3 +31,15 @@ def test_grid_fits_folds_side_by_side_over_checkpoints(bits, monkeypatch):
     rows = models.model_grid(bits, "bits", "id", "label", sizes=(16,), names=("NB",), folds=3).collect()
     assert [(r.bits, r.model, r.auc) for r in rows] == [(16, "NB", 1.0)]
     assert plans == [[], [], []]  # no table's files in the plan that every iteration sends out
+
+
+def test_selection_shares_what_points_have_in_common(bits, monkeypatch):
+    met, fitted = threading.Barrier(2), []
+    kind, search = models.VarianceThresholdSelector, models.CrossValidator
+    monkeypatch.setattr(kind, "_fit", lambda self, df, fit=kind._fit: (fitted.append(1), fit(self, df))[1])
+    monkeypatch.setattr(search, "_fit", lambda self, df, fit=search._fit: (met.wait(60), fit(self, df))[1])
+    data = add_sparse_vector(bits, "bits", 16).select("id", "label", "features")
+    table, model = models.train_select(data, folds=2, names=["NB", "DT"], draws=None)
+    assert {r.model: r["count"] for r in table.groupBy("model").count().collect()} == {"NB": 1, "DT": 3}
+    assert len(fitted) == 2 * (2 + 1)  # a classifier's folds and its last fit, not each of its points
+    assert model.transform(data).count() == 60
