@@ -2,8 +2,8 @@
 
 A byte-level BPE vocabulary splits a text by a fixed pattern and merges inside
 each word only, so the ids of a text are the ids of its words in a row. Each
-Python worker keeps the ids of the words it has met, and asks the library for
-new words in long runs. Texts with a special token, and texts with characters for which Python's ``re`` might
+Python worker keeps the ids of the words it has met, and asks the library's model for
+new ones. Texts with a special token, and texts with characters for which Python's ``re`` might
 split differently from the vocabulary's own pattern go to the library whole.
 """
 
@@ -25,7 +25,12 @@ _SPLIT = re.compile(
 #: Printable ASCII, tab, line ends, and Latin letters: here both patterns agree.
 _PLAIN = re.compile(rf"[ -~\t\n\r{_LETTERS}]*")
 _SPACED_WORD = re.compile(rf" [{_LETTERS}]+")
-_RUN = 2_000
+#: Printable stand-ins of the UTF-8 bytes, as byte-level vocabularies write them, for the characters of a spaced word.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
+_ID_BYTES = [i.to_bytes(2, "little") for i in range(1 << 16)]
+_BYTES = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in (32, *range(0xC0, 0x250))}
+_PROBES = (" the", " naïve", " Ünïcödé", " ɏǅĀſ", " counterrevolutionaries")
 #: Words kept by a worker (some 250 MB); then the memory is cleared and filled again.
 WORDS_KEPT = 1_200_000
 
@@ -41,25 +46,24 @@ class WordEncoder:
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.known: dict[str, bytes] = {}
+        self.model = self.library.model if self.library.normalizer is None else None
+        if self.model is not None and any(self._merged(w) != self._whole(w) for w in _PROBES):
+            self.model = None  # not a vocabulary of bytes: words go to the library whole
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def _merged(self, word: str) -> bytes:
+        """A space and letters, which the vocabulary's pattern leaves whole, straight from the merges of its model."""
+        return b"".join([_ID_BYTES[t.id] for t in self.model.tokenize(word.translate(_BYTES))])
+
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        runs, others, fresh = [], [], {}
+        others, fresh = [], {}
         for word in words:
-            (runs if _SPACED_WORD.fullmatch(word) else others).append(word)
-        for at in range(0, len(runs), _RUN):
-            part = runs[at:at + _RUN]
-            found = self.library.encode("".join(part), add_special_tokens=False)
-            ids, owner = np.array(found.ids, "<u2"), np.array(found.word_ids)
-            cuts = [0, *((np.flatnonzero(np.diff(owner)) + 1) * 2).tolist(), 2 * len(ids)]
-            if len(cuts) != len(part) + 1:
-                others += part
-                continue
-            data = ids.tobytes()
-            for word, a, b in zip(part, cuts, cuts[1:]):
-                fresh[word] = data[a:b]
+            if self.model is not None and _SPACED_WORD.fullmatch(word):
+                fresh[word] = self._merged(word)
+            else:
+                others.append(word)
         for word in others:
             fresh[word] = self._whole(word)
         if len(self.known) + len(fresh) > WORDS_KEPT:
