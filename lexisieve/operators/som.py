@@ -25,6 +25,8 @@ from lexisieve.session import materialize
 #: Longest side of a map: 16,384 codebook vectors at most, whatever the number of rows.
 MOST_SIDE = 128
 
+_CELLS = 2_000_000  # numbers in one distance block
+
 
 @dataclass
 class SelfOrganisingMap:
@@ -46,9 +48,11 @@ class SelfOrganisingMap:
 
 
 def _nearest(x: np.ndarray, codebook: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Node and squared distance; ties go to the lower node."""
-    squared = (codebook * codebook).sum(1) - 2 * x @ codebook.T
-    node = squared.argmin(1)
+    """Node and squared distance; ties go to the lower node. Blocks of rows are compared, however long a frame is."""
+    norms, node = (codebook * codebook).sum(1), np.zeros(len(x), np.int64)
+    step = max(1, _CELLS // len(codebook))
+    for at in range(0, len(x), step):
+        node[at:at + step] = (norms - 2 * x[at:at + step] @ codebook.T).argmin(1)
     return node, ((x - codebook[node]) ** 2).sum(1)
 
 
@@ -58,6 +62,15 @@ def _vectors(df: DataFrame, vec_col: str) -> DataFrame:
     return df.where(F.coalesce(finite & (F.size(v) > 0), F.lit(False))).select("*", v.alias("__v"))
 
 
+def _picked(hashed: DataFrame, count: int) -> np.ndarray:
+    """The first ``count`` vectors ``__v`` in the order of ``h``, a hash of their text. Only hashes are put in order; rows of
+    one hash are copies."""
+    hashes = [r.h for r in top_n(hashed.select("h"), ["h"], count).collect()]  # a codebook's worth
+    copied = hashed.where(F.col("h") <= max(hashes)).groupBy("h").agg(F.first("__v").alias("v"), F.count(F.lit(1)).alias("n"))
+    rows = sorted(copied.collect(), key=lambda r: r.h)  # no more than there are hashes
+    return np.repeat(np.array([r.v for r in rows]), [min(r.n, count) for r in rows], axis=0)[:count]
+
+
 def _smooth(sums: np.ndarray, side: int, sigma: float) -> np.ndarray:
     """Sums per node weighted by a Gaussian of their distance on the grid, one direction after the other."""
     place = np.arange(side)
@@ -79,14 +92,16 @@ def train_map(df: DataFrame, vec_col: str, side: int | None = None, rounds: int
     The codebook starts as that of vectors picked by hash; sigma falls by equal factors from half the side to
     ``last_sigma``.
     """
-    vectors = materialize(_vectors(df, vec_col).select("__v"))
-    n = vectors.count()
+    text = F.to_json("__v")
+    stored = materialize(_vectors(df, vec_col).select(F.col(vec_col).alias("raw"), seeded(seed, text).alias("h")))
+    hashed = stored.select("h", F.col("raw").cast("array<double>").alias("__v"))
+    # a task's sums may be as large as its vectors, so that more tasks than keep the cores busy would shuffle too much
+    vectors = hashed.select("__v").coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    n = stored.count()
     if not n:
         raise ValueError("no vectors to train a map on")
     side = side or grid_side(n)
-    rows = [r["__v"] for r in top_n(vectors.select("__v", F.to_json("__v").alias("t")), [seeded(seed, F.col("t")), "t"],
-                                    side * side).collect()]  # a codebook's worth
-    start = np.array(rows)
+    start = _picked(hashed, side * side)
     som = SelfOrganisingMap(start[np.arange(side * side) % len(start)], side)
     length = start.shape[1]
     first = max(side / 2, last_sigma)
@@ -104,7 +119,8 @@ def train_map(df: DataFrame, vec_col: str, side: int | None = None, rounds: int
                     count += np.bincount(node, minlength=len(codebook))
                     error += np.bincount(node, weights=np.sqrt(squared), minlength=len(codebook))
             used = np.flatnonzero(count)
-            yield pd.DataFrame({"node": used, "n": count[used], "error": error[used], "sums": list(total[used])})
+            if len(used):  # a task may have no rows
+                yield pd.DataFrame({"node": used, "n": count[used], "error": error[used], "sums": list(total[used])})
 
         found = vectors.mapInPandas(sums, "node long, n long, error double, sums array<double>")
         added = found.groupBy("node").agg(F.sum("n").alias("n"), F.sum("error").alias("error"), *[
