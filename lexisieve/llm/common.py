@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexisieve.session import arrow_rows as arrow_rows
 from lexisieve.session import shared_dir
 
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -34,15 +34,3 @@ def by_size(items: list, sizes: list[int], limit: int) -> Iterator[list]:
         total += size
     if run:
         yield run
-
-
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Smaller Arrow batches for the jobs started inside, where rows hold long texts or arrays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
