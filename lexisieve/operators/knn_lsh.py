@@ -36,6 +36,7 @@ MOST_PROBES = 1024
 #: Trees below trees; node numbers stay in 64 bits.
 MOST_DEPTH = 5
 _BLOCK_QUERIES = 1024
+_PROBE_ROWS = 16_384  # visits, each with its query's vector, in one frame
 
 
 class Tree:
@@ -157,6 +158,14 @@ def _matrix(flat, rows: int) -> np.ndarray:
     return np.asarray(flat, np.float64).reshape(rows, -1)
 
 
+def _visits_of(tree: Tree, x: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``x``, leaves and penalties of at most ``_PROBE_ROWS`` visits at a time (one query's, if that are more)."""
+    step = max(1, _PROBE_ROWS // min(most, len(tree.cuts) + 1))
+    for at in range(0, len(x), step):
+        leaves, penalty = tree.probes(x[at:at + step], most)
+        yield np.repeat(np.arange(at, at + len(leaves)), leaves.shape[1]), leaves.ravel(), penalty.ravel()
+
+
 def _refine_points(points: DataFrame, heavy: DataFrame, trees: DataFrame, size: int) -> DataFrame:
     """Points of heavy nodes in the leaves of their trees; others stay."""
     def down(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,12 +186,11 @@ def _refine_probes(probes: DataFrame, heavy: DataFrame, trees: DataFrame, most:
         for frame in frames:
             for r in frame.itertuples(index=False):
                 x = _matrix(r.vecs, len(r.ids))
-                leaves, penalty = Tree.unpacked(r.normals, r.cuts).probes(x, most)
-                n = leaves.shape[1]
-                yield pd.DataFrame({
-                    "id": np.repeat(r.ids, n), "vec": [v for v in x for _ in range(n)], "table": np.int32(r.table),
-                    "node": (r.node << MOST_LEVELS) + leaves.ravel() + 1,
-                    "penalty": (penalty + np.asarray(r.penaltys)[:, None]).ravel()})
+                ids, before = np.asarray(r.ids), np.asarray(r.penaltys)
+                for rows, leaves, penalty in _visits_of(Tree.unpacked(r.normals, r.cuts), x, most):
+                    yield pd.DataFrame({
+                        "id": ids[rows], "vec": [x[i] for i in rows], "table": np.int32(r.table),
+                        "node": (r.node << MOST_LEVELS) + leaves + 1, "penalty": penalty + before[rows]})
 
     asked = small_side(probes.join(heavy, ["table", "node"], "left_semi").groupBy("table", "node").count())
     moved = _blocks(probes, "id", asked, size, "penalty").join(trees, ["table", "node"]).mapInPandas(down, probes.schema)
@@ -231,9 +239,8 @@ class ProjectionIndex:
                 if len(frame):
                     x = np.stack(frame["vec"].to_numpy())
                     for t, tree in enumerate(roots):
-                        leaves, penalty = tree.probes(x, most)
-                        again = np.repeat(np.arange(len(frame)), leaves.shape[1])
-                        yield frame.iloc[again].assign(table=np.int32(t), node=leaves.ravel() + 1, penalty=penalty.ravel())
+                        for rows, leaves, penalty in _visits_of(tree, x, most):
+                            yield frame.iloc[rows].assign(table=np.int32(t), node=leaves + 1, penalty=penalty)
 
         asked = materialize(queries.select("id", "vec").mapInPandas(
             ask, "id long, vec array<double>, table int, node long, penalty double"))
